@@ -82,13 +82,14 @@ def within_radius(queries: DataFrame, base: DataFrame, fp: str, radius: int = 3,
     return q.join(b.withColumnRenamed("__key", "__other"), (F.col("__key") == F.col("__other")) & near).select("query_fp", "fp").distinct()
 
 
-def with_next(df: DataFrame, key: str, tie: str, carry: dict[str, str], buckets: int = 256) -> DataFrame:
+def with_next(df: DataFrame, key: str, tie: str, carry: dict[str, str], buckets: int = 256, prepare=lambda d: d) -> DataFrame:
     """``df`` with columns of the next row in descending ``key`` (nulls last), the first row following the last.
 
     ``carry`` maps columns to the names that the next row's values get. Rows are dealt to
     ranges of the key, by at most ``buckets`` bounds, and ordered within them; the first
     row of each range is dealt to the range before it too, so that all but the key's
-    bounds stays where it is. Equal keys follow in the order of ``tie``.
+    bounds stays where it is. Equal keys follow in the order of ``tie``. ``prepare`` adds
+    columns to carry: it is applied once the few rows that are dealt twice are picked.
     """
     cuts = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(key, cuts, 10000).alias("q")).first()
@@ -103,7 +104,7 @@ def with_next(df: DataFrame, key: str, tie: str, carry: dict[str, str], buckets:
     heads = heads.select(F.col(f"h.{key}").alias("__hk"), F.col(f"h.{tie}").alias("__ht"), before.alias("__to"))
     ghosts = d.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("__hk")) & (F.col(tie) == F.col("__ht"))).dropDuplicates(["__to"])
     ghosts = ghosts.withColumn("__range", F.col("__to")).withColumn("__ghost", F.lit(1)).drop("__to", "__hk", "__ht")
-    both = d.withColumn("__ghost", F.lit(0)).unionByName(ghosts)
+    both = prepare(d.withColumn("__ghost", F.lit(0))).unionByName(prepare(ghosts))
     w = W.partitionBy("__range").orderBy(F.col("__ghost"), *order)
     for have, name in carry.items():
         both = both.withColumn(name, F.lead(have).over(w))
@@ -119,8 +120,8 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     permuted block tables; it is null for the rest.
     """
     docs = load(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
-    d = with_fingerprint(docs, "text", "fp").withColumn("tie", F.xxhash64("text"))
-    d = with_next(d, "doc_id", "tie", {"text": "next_text", "fp": "next_fp"})
+    d = docs.withColumn("tie", F.xxhash64("text"))
+    d = with_next(d, "doc_id", "tie", {"text": "next_text", "fp": "next_fp"}, prepare=lambda x: with_fingerprint(x, "text", "fp"))
     d = d.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     d = with_fingerprint(d.withColumn("edited", edited), "edited", "edited_fp")
