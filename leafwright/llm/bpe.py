@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import load
-from .common import without
+from .common import slices, without
 
 LEAF = 4096
 _SYNC = re.compile(r"(?<=[^\W_])[ \n]")
@@ -116,12 +116,10 @@ def _mapped(df: DataFrame, fields: list[tuple[str, str, pa.DataType]], path: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared)
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                rows = [one(codec, v) for v in part.column(name).to_pylist()]
-                made = [pa.array([r[j] for r in rows], f[2]) for j, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, *[f[0] for f in fields]])
+        for b in slices(batches, 128):
+            rows = [one(codec, v) for v in b.column(name).to_pylist()]
+            made = [pa.array([r[j] for r in rows], f[2]) for j, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *made], [*names, *[f[0] for f in fields]])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), *(f"{n} {t}" for n, t, _ in fields)])
     return df.mapInArrow(run, schema)

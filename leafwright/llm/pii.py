@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from .common import without
+from .common import slices, without
 
 KEY = b"surrogates-1"
 
@@ -231,7 +231,7 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
     entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = [replace(t, key) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array([m[0] for m in made], pa.string())

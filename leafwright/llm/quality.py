@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from .common import without
+from .common import slices, without
 
 # Frequent function words of the languages that have a reference.
 COMMON = {
@@ -140,7 +140,7 @@ def references(df: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
+        for b in slices(batches):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 text = text or ""
                 words = text.split()
@@ -187,7 +187,7 @@ def score_quality(df: DataFrame) -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [judge(t, g, refs) for t, g in zip(b.column(names.index("text")).to_pylist(), b.column(names.index("lang")).to_pylist(), strict=True)]
             made = [pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], [*names, *_NAMES])
