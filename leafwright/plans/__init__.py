@@ -1 +1 @@
-
+"""Query registration."""
