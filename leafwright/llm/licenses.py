@@ -209,8 +209,11 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     wide = spark.createDataFrame([(g, w) for g, w in weights.items()], "gram string, w array<double>")
     shapes = [(k, i, len(p), g) for k, ts in TEMPLATES.items() for i, t in enumerate(ts) for p in [_pairs(tokens(t))] for g in p]
     shapes = spark.createDataFrame(shapes, "family string, template int, size int, gram string")
-    d = paragraphs.select("paragraph").distinct().withColumn("words", F.expr(_WORDS))
-    d = d.withColumn("grams", F.expr(f"array_distinct(flatten(transform(sequence(1, 3), n -> transform(filter(transform(sequence(1, greatest(size(words) - n + 1, 1)), i -> slice(words, i, n)), p -> size(p) = n and {_HAS}), p -> array_join(p, ' ')))))"))
+    # words are bound once for each paragraph: as a column they would be made anew for each n-gram
+    bound = lambda body: F.expr(f"transform(array({_WORDS}), words -> {body})[0]")
+    grams = f"array_distinct(flatten(transform(sequence(1, 3), n -> transform(filter(transform(sequence(1, greatest(size(words) - n + 1, 1)), i -> slice(words, i, n)), p -> size(p) = n and {_HAS}), p -> array_join(p, ' ')))))"
+    pairs = "array_distinct(if(size(words) < 2, words, transform(sequence(1, size(words) - 1), i -> array_join(slice(words, i, 2), ' '))))"
+    d = paragraphs.select("paragraph").distinct().select("paragraph", bound(grams).alias("grams"), bound(pairs).alias("pairs"))
     # weights and templates are of fixed size, some thousand rows
     hits = d.select("paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(wide), "gram")
     sums = hits.groupBy("paragraph").agg(F.first("n").alias("n"), *[F.sum(F.element_at("w", k + 1)).alias(f"z{k}") for k in range(len(classes))])
@@ -220,7 +223,7 @@ def classify(paragraphs: DataFrame) -> DataFrame:
     total = sum((F.exp(z - F.col("top")) for z in zs), F.lit(0.0))
     best = F.coalesce(*[F.when(z == F.col("top"), F.lit(c)) for z, c in zip(zs, classes, strict=True)])
     scored = sums.withColumn("top", top).select("paragraph", best.alias("class"), (F.lit(1.0) / total).alias("probability"))
-    pairs = d.select("paragraph", F.explode(F.expr("array_distinct(if(size(words) < 2, words, transform(sequence(1, size(words) - 1), i -> array_join(slice(words, i, 2), ' '))))")).alias("gram"))
+    pairs = d.select("paragraph", F.explode("pairs").alias("gram"))
     like = pairs.join(F.broadcast(shapes), "gram").groupBy("paragraph", "family", "template").agg((F.count(F.lit(1)) / F.first("size")).alias("s"))
     like = like.groupBy("paragraph", F.col("family").alias("class")).agg(F.max("s").alias("similarity"))
     out = scored.join(like, ["paragraph", "class"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
