@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from ..operators import citations, hierarchy, intervals, profile, records, search, sequences, tables, text
+from ..operators import citations, hierarchy, intervals, outlines, profile, records, scalars, search, sequences, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "citations", "hierarchy", "intervals", "profile", "records", "search", "sequences", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "citations", "hierarchy", "intervals", "outlines", "profile", "records", "scalars", "search", "sequences", "tables", "text"]
