@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..sources.derived import PAGES, TOC, page_text, toc_items
 from .hierarchy import MAX_LEVEL, parents_by_level
+from .scalars import noise_title
 
 
 def _ahead(doc: str, order: str) -> W:
@@ -190,17 +191,22 @@ def range_failures(nodes: DataFrame, last_page: str, doc: str = "doc_id") -> Dat
     return nodes.groupBy(doc).agg(F.count_if(a.isNull() | b.isNull()).alias("missing"), F.count_if(b < a).alias("inverted"), F.count_if((a < 1) | (b > F.col(last_page))).alias("outside"))
 
 
-def tree_style(items: DataFrame, doc: str = "doc_id", level: str = "level") -> DataFrame:
-    """QLT11: flat with one level, collapsed with one root over all the rest, mixed where few rows lie deep, else hierarchical."""
-    g = items.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(level).alias("k"), F.count_if(F.col(level) == F.lit(1)).alias("r"))
-    return g.select(doc, F.when(F.col("k") == 1, "flat").when((F.col("r") == 1) & (F.col("n") > 3), "collapsed").when((F.col("n") - F.col("r")) / F.col("n") < 0.3, "mixed").otherwise("hierarchical").alias("style"))
+def tree_style(items: DataFrame, doc: str = "doc_id", order: str = "ord", level: str = "level") -> DataFrame:
+    """QLT11: by how many roots have children: none, all or some; a lone root without any is collapsed."""
+    root = F.when(F.size("ancestors") == 0, F.col(order)).otherwise(F.get("ancestors", F.lit(0)))
+    r = with_ancestors(items, doc, order, level).withColumn("__root", root).groupBy(doc, "__root").agg(F.count(F.lit(1)).alias("size"))
+    g = r.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("size") > F.lit(1)).alias("c"))
+    return g.select(doc, F.when((F.col("c") == 0) & (F.col("n") == 1), "collapsed").when(F.col("c") == 0, "flat").when(F.col("c") == F.col("n"), "hierarchical").otherwise("mixed").alias("style"))
 
 
-def structure_quality(items: DataFrame, doc: str = "doc_id", title: str = "title", level: str = "level") -> DataFrame:
-    """AGG16, AGG17: ratios of short, noisy and repeated titles, and the depth."""
-    t = F.lower(F.trim(title))
-    g = items.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.avg((F.char_length(t) <= 3).cast("int")).alias("s"), F.avg(t.rlike(r"^[\d\s.]*$").cast("int")).alias("b"), F.countDistinct(t).alias("k"), F.max(level).alias("depth"))
-    return g.select(doc, F.round("s", 4).alias("short_ratio"), F.round("b", 4).alias("bad_ratio"), F.round(F.col("k") / F.col("n"), 4).alias("unique_ratio"), "depth")
+def structure_quality(items: DataFrame, doc: str = "doc_id", title: str = "title", depth: str = "level") -> DataFrame:
+    """AGG16, AGG17: ratios of noisy, short and distinct titles, the depth, and a score that falls with each fault."""
+    t = F.trim(title)
+    g = items.groupBy(doc).agg(F.count(F.lit(1)).alias("n"), F.avg(noise_title(t).cast("int")).alias("b"), F.avg((F.char_length(t) <= 4).cast("int")).alias("s"), (F.countDistinct(F.when(t != "", t)) / F.count(F.lit(1))).alias("u"), F.max(depth).alias("depth"))
+    fault = lambda c, x: F.when(c, x).otherwise(0.0)
+    n = F.col("n")
+    score = 1 - F.col("b") - fault(n <= 1, 0.35) - fault((F.col("depth") <= 1) & (n >= 6), 0.15) - fault((F.col("s") > 0.4) & (n >= 4), 0.12) - fault((F.col("u") < 0.6) & (n >= 5), 0.1)
+    return g.select(doc, F.round("b", 4).alias("bad_ratio"), F.round("s", 4).alias("short_ratio"), F.round("u", 4).alias("unique_ratio"), "depth", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("score"))
 
 
 def shallow(items: DataFrame, last_page: str, doc: str = "doc_id", order: str = "ord", page: str = "page") -> DataFrame:
@@ -225,9 +231,11 @@ def uncovered(items: DataFrame, pages: DataFrame, doc: str = "doc_id") -> DataFr
     return pages.select(doc, "page").join(c, [doc, "page"], "left_anti")
 
 
-def content_type(coverage: Column, image_only: Column, garbled: Column) -> Column:
-    """CLS02 in outline: text where nearly all pages have a text layer, ocr where few do, else hybrid."""
-    return F.when((coverage >= 0.95) & (image_only <= 0.05) & (garbled == 0), "text").when((coverage < 0.2) | (image_only + garbled >= 0.8), "ocr").otherwise("hybrid")
+def content_type(coverage: Column, images: Column, image_only: Column, garbled: Column, quality: Column, edges_only: Column) -> Column:
+    """CLS02: ocr where images or garbage prevail; a reliable text layer with a bare cover or back is text; else hybrid by any fault."""
+    ocr = (image_only >= 0.9) | (garbled >= 0.5) | ((coverage <= 0.05) & (images >= 0.5)) | (quality == "garbled")
+    sparse = (quality == "reliable") & (coverage >= 0.95) & (garbled == 0) & (image_only <= 0.05) & edges_only
+    return F.when(ocr, "ocr").when(sparse, "text").when((image_only > 0) | (garbled > 0) | quality.isin("partial", "noisy"), "hybrid").otherwise("text")
 
 
 _N = "ln AS (SELECT doc_id, max(page) AS last_page FROM pg GROUP BY 1)"
@@ -354,12 +362,15 @@ def _int08(spark, d):
     return range_failures(n, "last_page")
 
 
-@query("qlt11_style", f"WITH {TOC}, x AS (SELECT * FROM ti WHERE doc_id % 3 > 0 OR level = 1 OR ord = 1), g AS (SELECT doc_id, count(*) AS n, count(DISTINCT level) AS k, count(*) FILTER (level = 1) AS r FROM x GROUP BY 1) SELECT doc_id, CASE WHEN k = 1 THEN 'flat' WHEN r = 1 AND n > 3 THEN 'collapsed' WHEN (n - r) / n < 0.3 THEN 'mixed' ELSE 'hierarchical' END AS style FROM g")
+_ROOTS = "x AS (SELECT * FROM ti WHERE doc_id % 3 = 0 OR (level <> 2) = (doc_id % 3 = 1)), rt AS (SELECT *, NOT EXISTS (SELECT 1 FROM x b WHERE b.doc_id = a.doc_id AND b.ord < a.ord AND b.level < a.level) AS root FROM x a)"
+
+
+@query("qlt11_style", f"WITH {TOC}, {_ROOTS}, g AS (SELECT doc_id, sum(root::INT) OVER (PARTITION BY doc_id ORDER BY ord) AS r FROM rt), n AS (SELECT doc_id, r, count(*) AS n FROM g GROUP BY 1, 2), k AS (SELECT doc_id, count(*) AS n, count(*) FILTER (n > 1) AS c FROM n GROUP BY 1) SELECT doc_id, CASE WHEN c = 0 AND n = 1 THEN 'collapsed' WHEN c = 0 THEN 'flat' WHEN c = n THEN 'hierarchical' ELSE 'mixed' END AS style FROM k")
 def _qlt11(spark, d):
-    return tree_style(toc_items(spark, d).where("doc_id % 3 > 0 or level = 1 or ord = 1"))
+    return tree_style(toc_items(spark, d).where("doc_id % 3 = 0 or (level <> 2) = (doc_id % 3 = 1)"))
 
 
-@query("agg17_structure", rf"WITH {TOC}, k AS (SELECT doc_id, level, lower(trim(title)) AS t FROM ti) SELECT doc_id, round(avg((length(t) <= 3)::INT), 4) AS short_ratio, round(avg(regexp_full_match(t, '[\d\s.]*')::INT), 4) AS bad_ratio, round(count(DISTINCT t) / count(*), 4) AS unique_ratio, max(level) AS depth FROM k GROUP BY 1")
+@query("agg17_structure", rf"""WITH {TOC}, k AS (SELECT doc_id, level, trim(title) AS t FROM ti), g AS (SELECT doc_id, count(*) AS n, avg((regexp_full_match(t, '[0-9\s.+±-]*') OR length(t) NOT BETWEEN 2 AND 120)::INT) AS b, avg((length(t) <= 4)::INT) AS s, count(DISTINCT nullif(t, '')) / count(*) AS u, max(level) AS depth FROM k GROUP BY 1) SELECT doc_id, round(b, 4) AS bad_ratio, round(s, 4) AS short_ratio, round(u, 4) AS unique_ratio, depth, round(greatest(0, least(1, 1 - b - CASE WHEN n <= 1 THEN 0.35 ELSE 0 END - CASE WHEN depth <= 1 AND n >= 6 THEN 0.15 ELSE 0 END - CASE WHEN s > 0.4 AND n >= 4 THEN 0.12 ELSE 0 END - CASE WHEN u < 0.6 AND n >= 5 THEN 0.1 ELSE 0 END)), 4) AS score FROM g""")
 def _agg17(spark, d):
     return structure_quality(toc_items(spark, d))
 
@@ -380,7 +391,7 @@ def _set11(spark, d):
     return uncovered(spans(spark, d).where("ord % 2 = 0 and end_page >= start_page"), page_text(spark, d))
 
 
-@query("cls02_content", f"WITH {PAGES}, g AS (SELECT doc_id, avg((page % (doc_id % 4 + 1) = 0)::INT) AS c FROM pg GROUP BY 1) SELECT doc_id, CASE WHEN c >= 0.95 THEN 'text' WHEN c < 0.2 OR 1 - c >= 0.8 THEN 'ocr' ELSE 'hybrid' END AS kind FROM g")
+@query("cls02_content", f"WITH {PAGES}, g AS (SELECT doc_id, avg((page % (doc_id % 4 + 1) = 0)::INT) AS c, avg((page % 11 = 3)::INT) AS g FROM pg GROUP BY 1) SELECT doc_id, CASE WHEN 1 - c >= 0.9 OR g >= 0.5 OR c <= 0.05 THEN 'ocr' WHEN c >= 0.95 AND g = 0 AND 1 - c <= 0.05 THEN 'text' ELSE CASE WHEN 1 - c > 0 OR g > 0 THEN 'hybrid' ELSE 'text' END END AS kind FROM g")
 def _cls02(spark, d):
-    g = page_text(spark, d).groupBy("doc_id").agg(F.avg(F.expr("cast(page % (doc_id % 4 + 1) = 0 as int)")).alias("c"))
-    return g.select("doc_id", content_type(F.col("c"), 1 - F.col("c"), F.lit(0)).alias("kind"))
+    g = page_text(spark, d).groupBy("doc_id").agg(F.avg(F.expr("cast(page % (doc_id % 4 + 1) = 0 as int)")).alias("c"), F.avg(F.expr("cast(page % 11 = 3 as int)")).alias("g"))
+    return g.select("doc_id", content_type(F.col("c"), 1 - F.col("c"), 1 - F.col("c"), F.col("g"), F.lit("reliable"), F.lit(True)).alias("kind"))
