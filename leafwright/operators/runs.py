@@ -272,7 +272,10 @@ def _jon17(spark, d):
 _EV = "ev AS (SELECT page_id AS evidence_id, 'L' || page_id % 40 AS label, page_id % 30 AS doc_id, page_id % 4 AS position FROM pages), ci AS (SELECT item_id AS citation_id, 'L' || item_id % 50 AS label, item_id % 45 AS doc_id, item_id % 4 AS position FROM benchmark)"
 
 
-@query("jon18_cited", f"WITH {_EV} SELECT citation_id, evidence_id, CAST(CASE WHEN c.label = e.label THEN 100 ELSE 0 END + CASE WHEN c.doc_id = e.doc_id THEN 50 ELSE 0 END + CASE WHEN c.position = e.position THEN 30 ELSE 0 END + 10 AS INT) AS score FROM ci c, ev e WHERE c.label = e.label OR c.doc_id = e.doc_id QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY 3 DESC, evidence_id) = 1".replace("ORDER BY 3 DESC", "ORDER BY CASE WHEN c.label = e.label THEN 100 ELSE 0 END + CASE WHEN c.doc_id = e.doc_id THEN 50 ELSE 0 END + CASE WHEN c.position = e.position THEN 30 ELSE 0 END DESC"))
+_POINTS = "CASE WHEN c.label = e.label THEN 100 ELSE 0 END + CASE WHEN c.doc_id = e.doc_id THEN 50 ELSE 0 END + CASE WHEN c.position = e.position THEN 30 ELSE 0 END + 10"
+
+
+@query("jon18_cited", f"WITH {_EV} SELECT citation_id, evidence_id, CAST({_POINTS} AS INT) AS score FROM ci c, ev e WHERE c.label = e.label OR c.doc_id = e.doc_id QUALIFY row_number() OVER (PARTITION BY citation_id ORDER BY {_POINTS} DESC, evidence_id) = 1")
 def _jon18(spark, d):
     e = load(spark, d, "pages").selectExpr("page_id as evidence_id", "concat('L', page_id % 40) as label", "page_id % 30 as doc_id", "page_id % 4 as position")
     c = load(spark, d, "benchmark").selectExpr("item_id as citation_id", "concat('L', item_id % 50) as label", "item_id % 45 as doc_id", "item_id % 4 as position")
