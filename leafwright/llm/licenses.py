@@ -91,6 +91,7 @@ TEMPLATES = {
         "Released into the public domain under CC0 1.0 Universal",
     ],
     "proprietary": [
+        "All rights reserved",
         "All rights reserved. No part of this publication may be reproduced without prior written permission of the publisher",
         "This software is proprietary and confidential. Unauthorized copying is prohibited",
     ],

@@ -115,6 +115,26 @@ def test_op2(spark, folder):
     assert licenses.model()[3] > 0.9  # on held-out paragraphs
 
 
+def test_op2_finds_every_planted_line(spark):
+    """Each notice that the tables hold, in every document that holds it."""
+    planted = {
+        "Released under the MIT License.": "mit",
+        "Licensed under the Apache License, Version 2.0.": "apache",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc",
+        "All rights reserved.": "proprietary",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where(F.col("text").rlike("(?m)^(" + "|".join(map(re.escape, planted)) + ")$"))
+    rows = licenses.scan_licenses(docs.select("doc_id", "text")).collect()
+    assert len(rows) > 300 and {k for r in rows for k in r.text.split("\n") if k in planted} == set(planted)
+    for r in rows:
+        want = {planted[k] for k in r.text.split("\n") if k in planted}
+        assert set(r.families.split(",")) == want, r.doc_id
+    # each by itself too
+    alone = {r.paragraph: r.family for r in licenses.classify(spark.createDataFrame([(k,) for k in planted], "paragraph string")).collect()}
+    assert alone == planted
+
+
 def test_op2_scores_by_brute_force(spark):
     import numpy as np
 
