@@ -1,6 +1,7 @@
 """Operator 2, license scans: a trained paragraph classifier, confirmed by templates.
 
-A paragraph is a line with a word. Its features are the word n-grams, one to three
+A paragraph is a line with a word, or a block of such lines up to a blank one, joined,
+as licence texts are mostly wrapped. Its features are the word n-grams, one to three
 words long, that hold an anchor word (license, permission, gnu, ...). Multinomial
 logistic regression over them gives each licence family, and an unknown class, a
 probability; a temperature fitted on held-out paragraphs calibrates these. A family is
@@ -21,7 +22,7 @@ import re
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
@@ -122,6 +123,9 @@ ANCHORS = (
 ).split()
 _TOKEN = re.compile(r"[a-z0-9]+")
 _ANCHORED = "(?i)\\b(" + "|".join(ANCHORS) + ")\\b"
+#: A line without letters and digits (a comment's frame, say) parts blocks as a blank one does. Possessive: no recursion.
+_LETTER = r"[\p{L}\p{N}]"
+_BLANK = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 _FILLER = "the of this in work file text page note below here all code data and project see also by our team site".split()
 
 
@@ -236,26 +240,48 @@ def _pairs(words: list[str]) -> set[str]:
     return {" ".join(words[i : i + 2]) for i in range(len(words) - 1)} or set(words)
 
 
+def _parts(text: Column) -> Column:
+    """(block, whole, paragraph): the lines of each block that hold an anchor, and blocks of several lines as one."""
+    lines = lambda b: F.filter(F.split(b, "\n"), lambda x: x.rlike(_LETTER))
+
+    def parts(b: Column, i: Column) -> Column:
+        row = lambda whole: lambda x: F.struct(i.alias("block"), F.lit(whole).alias("whole"), x.alias("paragraph"))
+        joined = F.filter(F.array(F.array_join(lines(b), " ")), lambda x: F.size(lines(b)) > 1)
+        return F.concat(F.transform(lines(b), row(False)), F.transform(joined, row(True)))
+
+    return F.filter(F.flatten(F.transform(F.split(text, _BLANK), parts)), lambda x: x["paragraph"].rlike(_ANCHORED))
+
+
 def scan_licenses(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with n_paragraphs, n_anchored, n_licensed, ``families`` (sorted, comma-joined) and ``best``.
 
-    ``best`` is the family of the most probable paragraph, null without one. Null and
-    empty texts have no paragraphs. Repeated rows have equal results. Paragraphs of any
-    length are classified whole.
+    Paragraphs and anchored ones are counted in lines. A block of lines counts in
+    n_licensed once if its lines joined show a family that none of them shows alone.
+    ``best`` is the family of the most probable line or block, null without one. Null and
+    empty texts have no paragraphs. Repeated rows have equal results. Lines and blocks of
+    any length are classified whole.
     """
     df = without(df, "n_paragraphs", "n_anchored", "n_licensed", "families", "best")
     d = df.withColumn("n_paragraphs", F.size(F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(WORD))).cast("long"))
     d = d.withColumn("__anchored", text_of(text).rlike(_ANCHORED)).withColumn("__hash", F.xxhash64(text))
     held = d.where("__anchored")
-    lines = held.select(F.col(doc_id).alias("__id"), "__hash", text).distinct()
-    lines = lines.select("__id", "__hash", F.explode(F.filter(F.split(text_of(text), "\n"), lambda x: x.rlike(_ANCHORED))).alias("paragraph"))
-    met = lines.join(classify(lines), "paragraph", "left")
+    texts = held.select(F.col(doc_id).alias("__id"), "__hash", text).distinct()
+    parts = texts.select("__id", "__hash", F.explode(_parts(text_of(text))).alias("part")).select("__id", "__hash", "part.*")
+    met = parts.join(classify(parts), "paragraph", "left")
     known = F.col("family") != UNKNOWN
-    per = met.groupBy("__id", "__hash").agg(
-        F.count(F.lit(1)).alias("n_anchored"),
-        F.count_if(known).alias("n_licensed"),
-        F.array_join(F.sort_array(F.collect_set(F.when(known, F.col("family")))), ",").alias("families"),
-        F.max(F.when(known, F.struct("probability", "family"))).getField("family").alias("best"),
+    blocks = met.groupBy("__id", "__hash", "block").agg(
+        F.count_if(~F.col("whole")).alias("n_anchored"),
+        F.count_if(known & ~F.col("whole")).alias("n_licensed"),
+        F.collect_set(F.when(known & ~F.col("whole"), F.col("family"))).alias("shown"),
+        F.collect_set(F.when(known & F.col("whole"), F.col("family"))).alias("joined"),
+        F.max(F.when(known, F.struct("probability", "family"))).alias("top"),
+    )
+    blocks = blocks.withColumn("n_licensed", F.col("n_licensed") + F.size(F.array_except("joined", "shown")))
+    per = blocks.groupBy("__id", "__hash").agg(
+        F.sum("n_anchored").alias("n_anchored"),
+        F.sum("n_licensed").alias("n_licensed"),
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_union("shown", "joined"))))), ",").alias("families"),
+        F.max("top").getField("family").alias("best"),
     )
     per = per.select(F.col("__id").alias("__i"), F.col("__hash").alias("__h"), "n_anchored", "n_licensed", "families", "best")
     hit = held.join(per, F.col(doc_id).eqNullSafe(F.col("__i")) & F.col("__hash").eqNullSafe(F.col("__h")), "left").drop("__i", "__h")

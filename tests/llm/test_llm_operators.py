@@ -135,6 +135,32 @@ def test_op2_finds_every_planted_line(spark):
     assert alone == planted
 
 
+WRAPPED = {
+    "mit": "MIT License\n\nCopyright (c) 2020 Some One\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "gpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache": "you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+}
+
+
+def test_op2_reads_wrapped_texts(spark):
+    """Notices wrapped at several widths, plain, in a comment, and between lines of prose."""
+    import textwrap
+
+    rows = []
+    for family, text in WRAPPED.items():
+        for width in (50, 72, 80):
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+            rows += [(family, wrapped), (family, "/*\n" + textwrap.indent(wrapped, " * ", lambda _: True) + "\n */"), (family, f"it rained all day\n{wrapped}\nand then they went home"), (family, wrapped.replace("\n", "\r\n"))]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert [(rows[r.doc_id], r.families) for r in got if rows[r.doc_id][0] not in r.families.split(",") or r.n_licensed == 0] == []
+    # a block whose lines show the family alone is not counted again; blank lines by the thousand do no harm
+    text = "it rained\nReleased under the MIT License.\nand then" + "\n" * 20000 + "end"
+    r = licenses.scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_paragraphs, r.n_anchored, r.n_licensed, r.families, r.best) == (4, 1, 1, "mit", "mit")
+    assert licenses.scan_licenses(spark.createDataFrame([(1, "they went to the shop to get a\nlicense for the dog and\nsome software")], "doc_id long, text string")).first().families == ""
+
+
 def test_op2_scores_by_brute_force(spark):
     import numpy as np
 
