@@ -279,16 +279,20 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
 def deduplicate(df: DataFrame, **how) -> DataFrame:
     """The rows of ``df`` (doc_id, text and any others) that stay: one of each component.
 
-    Of repeated rows with the same id and text one stays as well. Texts without words
-    all stay, as they are near nothing.
+    It has the least doc_id of its component, a null one only if there is no other, and
+    of texts under the same id the one with the least hash; of repeated rows with the
+    same id and text one stays. Texts without words all stay, as they are near nothing.
     """
-    df = without(df, "__keep_hash", "__keep_id")
-    kept = near_duplicates(df.select("doc_id", "text"), **how).where("kept").select(F.col("text_hash").alias("__keep_hash"), F.col("doc_id").alias("__keep_id")).distinct()
-    return (
-        df.withColumn("__hash", F.xxhash64("text"))
-        .join(kept, (F.col("__hash") == F.col("__keep_hash")) & F.col("doc_id").eqNullSafe(F.col("__keep_id")), "left_semi")
-        .drop("__hash")
-    )
+    df = without(df, "__keep_hash", "__keep_id", "__hash", "__repeated")
+    d = near_components(df.select("doc_id", "text"), **how).groupBy("component", "text_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("first")
+    one = d.where("component is not null").groupBy("component").agg(first).select("first.text_hash", "first.doc_id", (F.col("first.n") > 1).alias("__repeated"))
+    kept = one.unionByName(d.where("component is null").select("text_hash", "doc_id", F.lit(False).alias("__repeated")))
+    kept = write_stage(kept.withColumnsRenamed({"text_hash": "__keep_hash", "doc_id": "__keep_id"}), "kept")
+    met = df.withColumn("__hash", F.xxhash64("text")).join(kept, (F.col("__hash") == F.col("__keep_hash")) & F.col("doc_id").eqNullSafe(F.col("__keep_id")))
+    # only what repeats is dealt out once more
+    out = met.where("not __repeated").unionByName(met.where("__repeated").dropDuplicates(["__hash", "doc_id"]))
+    return out.drop("__hash", "__keep_hash", "__keep_id", "__repeated")
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

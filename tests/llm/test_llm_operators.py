@@ -246,6 +246,21 @@ def test_op4_keeps_one_of_each(spark, docs):
     assert sorted(r.doc_id for r in kept.where("doc_id in (5, 6, 7, 8)").distinct().collect()) == [5, 7]
 
 
+def test_op4_keeps_one_row_of_each(spark, docs, rows):
+    """Row counts: repeated rows, near texts under one id, and null ids only."""
+    kept = [r.doc_id for r in neardup.deduplicate(docs).where("doc_id in (5, 6, 7, 8)").collect()]
+    assert sorted(kept) == [5, 7]
+    text = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    more = [(1, text, "en"), (1, text, "fr"), (1, text + " end", "en"), (2, text, "en"), (None, text, "en")]
+    more += [(None, other, "en"), (None, other, "en"), (None, other + " end", "en")]
+    more += [(9, "", "en"), (9, "", "en"), (None, None, "en"), (None, " ", "en")]
+    d = spark.createDataFrame(more, "doc_id long, text string, lang string").repartition(4)
+    got = neardup.deduplicate(d).collect()
+    assert sorted(str(r.doc_id) for r in got if (r.text or "").strip()) == ["1", "None"]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got if not (r.text or "").strip()) == [("9", ""), ("9", ""), ("None", " "), ("None", "None")]
+
+
 def test_sketch_fills_and_estimates():
     import numpy as np
 

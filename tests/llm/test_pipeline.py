@@ -33,6 +33,14 @@ def test_neardup_keeps_one_of_each_group(spark, docs):
     assert sorted(set(got)) == want
 
 
+def test_neardup_keeps_one_row_of_each_group(spark, docs):
+    rows = [tuple(r) for r in docs.collect() if r.doc_id is not None]
+    worded = lambda t: bool((t or "").split())
+    want = sorted({k[0] for k, r in zip(brute_components(rows), rows, strict=True) if k[3] and worded(r[1])})
+    got = sorted(r.doc_id for r in pipe.neardup(spark, docs.where("doc_id is not null"), "").collect() if worded(r.text))
+    assert got == want
+
+
 def test_secrets_go_and_documents_stay(spark, docs):
     got = pipe.secrets(spark, docs, "").collect()
     want = [(r.doc_id, secrets.redact(r.text, secrets.find(r.text)) if r.text else r.text) for r in docs.collect()]
