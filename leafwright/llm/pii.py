@@ -5,7 +5,8 @@ all strings of its format: digits stay digits, letters stay letters of their scr
 case and kind, punctuation stays. A permutation has no collisions, so distinct
 entities stay distinct, and it depends on the key alone, so an entity has the same
 surrogate in every text: coreference holds over the corpus without a shuffle. None is
-its own surrogate. ``collisions`` checks both on what was replaced.
+its own surrogate. ``collisions`` checks both on what was replaced. A name is found by the
+title before it, and its words are then replaced wherever the text has them.
 """
 
 from __future__ import annotations
@@ -169,9 +170,21 @@ def _name(key: bytes, gender: str, text: str) -> str:
         # the ending, which shows gender, stays; a known name is no one else's surrogate
         return permute_text(key, "name", w, fixed={len(w) - 1} if len(w) > 2 else set(), bad=_KNOWN.__contains__)
 
-    return re.sub(r"[^\W\d_]+", lambda m: word(m[0]), text)
-
-
+    return re.sub(rf"{_LETTER}+", lambda m: m[0] if m[0] in _PARTICLES else word(m[0]), text)
+
+
+#: A letter with its marks; the small ones, which begin no name.
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+_SMALL = "".join(c for c in map(chr, range(0x80, 0x2000)) if c.islower())
+_CAPITAL = rf"[^\W\d_a-z{_SMALL}]"
+#: Small words inside names, which stay.
+_PARTICLES = set("von van vom zu zum zur der den dem de del della di da do dos das du des la le las los ter ten bin ibn al el y e af av d l".split())
+_PARTICLE = rf"(?:(?:{'|'.join(sorted(_PARTICLES - {'d', 'l'}, key=len, reverse=True))})[ \t\u00a0]{{1,3}}|[dl]['’])"
+# an apostrophe joins what follows, but for endings as in Smith's
+_NAME_WORD = rf"(?:{_CAPITAL}\.(?!\w\w)|{_CAPITAL}{_LETTER}*(?:(?:[\-\u2010\u2011]|['’](?!(?:s|d|ll|ve|re|m|t)\b)){_LETTER}+)*)"
+_NAME = rf"{_PARTICLE}*{_NAME_WORD}(?:[ \t\u00a0]{{0,3}}(?<=[ \t\u00a0.]){_PARTICLE}*{_NAME_WORD})*"
+#: Degrees between a title and a name, which stay.
+_DEGREE = r"(?:(?:Dr|Prof|Professor|Doktor|Doctor|Dipl|Ing)\b\.?[\s\-]{1,3})*"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _ENTITY = re.compile(
     rf"""
@@ -182,10 +195,12 @@ _ENTITY = re.compile(
   | (?P<phone>(?<!\w)(?:\+\d{{1,3}}[\ .\-]?)?\(\d{{2,4}}\)[\ .\-]?\d{{3,4}}[\ .\-]?\d{{3,4}}(?!\w)
       |\+\d{{1,3}}(?:[\ .\-]\d{{2,4}}){{2,5}}(?!\w)|\+\d{{8,15}}(?!\w)|(?<![\w.\-])\d{{3}}[.\-\ ]\d{{3}}[.\-\ ]\d{{4}}(?![\w\-]))
   | (?P<card>(?<!\w)(?<!\d\.)(?:\d{{13,19}}|\d{{4}}(?P<gap>[\ \-])\d{{4}}(?P=gap)\d{{4}}(?P=gap)\d{{1,7}}|3[47]\d{{2}}[\ \-]\d{{6}}[\ \-]\d{{5}})(?!\w))
-  | (?:\b(?P<title>{_TITLE})\.?\ (?P<name>[^\W\d_a-z][^\W\d_]+(?:\ [^\W\d_a-z][^\W\d_]+)?))
+  | (?:\b(?P<title>{_TITLE})(?:\.\s{{0,3}}|\s{{1,3}}){_DEGREE}(?P<name>{_NAME}))
     """,
     re.X,
 )
+_RUN = re.compile(rf"(?<![\w]){_LETTER}+(?:[\-\u2010\u2011'’]{_LETTER}+)*(?![\w])")
+_PART = re.compile(rf"{_LETTER}+")
 _MAY = re.compile(r"[0-9@]")
 _FEMALE = set(TITLES["f"])
 KINDS = ["email", "phone", "card", "ip", "iban", "ssn", "name"]
@@ -213,12 +228,29 @@ def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[
             new = _name(key, "f" if m["title"] in _FEMALE else "m", value)
         else:
             new = permute_text(key, kind, value, fixed={0, 1} if kind == "iban" else set())
+        found.append((kind, start, end, value, new))
+    found = _mentions(key, text, found)
+    for _, start, end, _, new in found:
         out += [text[at:start], new]
         at = end
-        found.append((kind, start, end, value, new))
     return ("".join([*out, text[at:]]), found) if found else (text, [])
 
 
+def _mentions(key: bytes, text: str, found: list[tuple[str, int, int, str, str]]) -> list[tuple[str, int, int, str, str]]:
+    """``found``, in order, with the bare mentions of its names' words between them; single letters are none."""
+    words = {w for f in found if f[0] == "name" for w in (*re.findall(_NAME_WORD, f[3]), *re.findall(rf"{_LETTER}+", f[3])) if len(w.rstrip(".")) > 1 and w not in _PARTICLES}
+    if not words:
+        return found
+    # runs of letters, hyphens and apostrophes are looked up, whole and then by their parts
+    more, at = [], 0
+    for start, end in [*((f[1], f[2]) for f in found), (len(text), len(text))]:
+        for m in _RUN.finditer(text, at, start):
+            spans = [m.span()] if m[0] in words else [p.span() for p in _PART.finditer(text, *m.span()) if p[0] in words]
+            more += [("name", a, b, text[a:b], _name(key, "", text[a:b])) for a, b in spans]
+        at = end
+    return sorted([*found, *more], key=lambda f: f[1])
+
+
 def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
     """``df`` with surrogates in ``text``, and ``entities``: kind, start, end (code points of the old text), value, surrogate.
 

@@ -367,6 +367,38 @@ def test_op7_surrogates_are_distinct_alike_and_typed():
     assert pii.luhn(card.replace(" ", "")) and card[4] == " "
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("saw Mrs Anna Maria Lopez today", ["Anna Maria Lopez"]),
+        ("Frau Müller-Schmidt kam", ["Müller-Schmidt"]),
+        ("Frau Mu\u0308ller kam", ["Mu\u0308ller"]),
+        ("Mr O'Brien left", ["O'Brien"]),
+        ("Mr Smith's house", ["Smith"]),
+        ("Mr. J. R. Smith left", ["J. R. Smith"]),
+        ("Herr Dr. Karl von der Heide kam", ["Karl von der Heide"]),
+        ("Mrs. Smith came. Later Smith left", ["Smith", "Smith"]),
+        ("Lopez rang. Mrs Anna Maria Lopez came; Maria's dog and Lopez-Diaz, not Lopezes", ["Lopez", "Anna Maria Lopez", "Maria", "Lopez"]),
+        ("Mr O'Brien left, O'Brien said", ["O'Brien", "O'Brien"]),
+        ("Frau über and Mr or Mrs", []),
+    ],
+)
+def test_op7_names_whole_and_again(text, names):
+    new, found = pii.replace(text)
+    assert [f[3] for f in found] == names
+    at, back = 0, ""
+    for kind, start, end, value, surrogate in found:
+        assert kind == "name" and text[start:end] == value != surrogate
+        back += text[at:start] + surrogate
+        at = end
+    assert back + text[at:] == new
+    # a word has one surrogate
+    made = {}
+    for f in found:
+        for a, b in zip(re.findall(r"\w+", f[3]), re.findall(r"\w+", f[4]), strict=True):
+            assert made.setdefault(a, b) == b
+
+
 def test_op8_meets_targets(spark, folder):
     got = mixing.op8_mixing(spark, folder).collect()
     for r in got:
