@@ -287,6 +287,13 @@ def _toc05(spark, d):
     return t.where("x.number = '1.2' and x.title = 'First part'").select("doc_id", "x.page")
 
 
+@query("toc05_all_lines")
+def _toc05_all(spark, d):
+    """Every page's own text, with a contents line added to it."""
+    lines = F.concat(F.col("text"), F.lit("\n1.2 First part ..... "), F.col("page").cast("string"))
+    return page_text(spark, d).select("doc_id", F.col("page").alias("on_page"), F.explode(toc_lines(lines)).alias("x")).select("doc_id", "on_page", "x.*")
+
+
 @query("map01_title_page", rf"WITH {TOC}, p AS (SELECT doc_id, page, regexp_replace(lower(text), '[^0-9a-zA-Z\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS f FROM pg), t AS (SELECT doc_id, ord, regexp_replace(lower(title), '[^0-9a-zA-Z\x{{4e00}}-\x{{9fff}}]+', '', 'g') AS t FROM ti) SELECT t.doc_id, ord, coalesce(min(page) FILTER (f = t), min(page)) AS found, CASE WHEN bool_or(f = t) THEN 0.95 ELSE 0.9 END::DOUBLE AS score FROM t JOIN p ON p.doc_id = t.doc_id AND contains(f, t) WHERE t <> '' GROUP BY 1, 2")
 def _map01(spark, d):
     return first_title_page(toc_items(spark, d), page_text(spark, d))
