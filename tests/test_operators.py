@@ -31,3 +31,13 @@ def test_ranges_and_coverage(spark):
     assert [x.end_page for x in r.orderBy("ord").collect()] == [2, 3, 9]
     c = intervals.coverage(r.withColumnRenamed("page", "start_page")).first()
     assert (c.missing, c["class"]) == (0, "good")
+
+
+def test_top_segments_of_the_best_documents(spark):
+    from leafwright.operators.search import top_segments
+
+    rows = [(d, i, float((d * 7 + i * 3) % 11)) for d in range(6) for i in range(5)]
+    got = {(r.doc_id, r.seg_id, r["rank"], r.doc_score) for r in top_segments(spark.createDataFrame(rows, "doc_id long, seg_id long, score double"), 2, 3).collect()}
+    by = {d: sorted((r for r in rows if r[0] == d), key=lambda r: (-r[2], r[1]))[:2] for d in range(6)}
+    best = sorted(by, key=lambda d: (-by[d][0][2], d))[:3]
+    assert got == {(d, r[1], k, by[d][0][2]) for d in best for k, r in enumerate(by[d], 1)}
