@@ -19,6 +19,39 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in low])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has: working columns never clash with a table's own."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def join_hot(df: DataFrame, side: DataFrame, key: str, spread: list[str], rows: str, hottest: int = 1000) -> DataFrame:
+    """``df`` left joined with ``side`` on ``key``, which is unique in ``side`` and may be hot in ``df``.
+
+    ``side`` counts the rows of ``df`` that have its key in column ``rows``, which the result
+    lacks. Keys with a share of more than one in ``hottest`` of all those rows are at most
+    ``hottest``: only they are broadcast. All other rows meet by a plain join; hot ones take
+    part in it under keys of their own, dealt out by the columns ``spread``, and find nothing.
+    """
+    carried = [c for c in side.columns if c not in (key, rows)]
+    total = side.agg(F.sum(rows)).first()[0] or 0
+    hot = side.where(F.col(rows) > total / hottest)
+    found = [F.col(c).alias(f"__hot_{c}") for c in carried]
+    d = df.join(F.broadcast(hot.select(F.col(key).alias("__hot_key"), *found)), F.col(key) == F.col("__hot_key"), "left")
+    # rows without a key would all go to one task too
+    is_hot = F.col("__hot_key").isNotNull() | F.col(key).isNull()
+    d = d.withColumn("__salt", F.when(is_hot, 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(0))
+    plain = side.where(F.col(rows) <= total / hottest).select(F.col(key).alias("__key"), F.lit(0).cast("long").alias("__zero"), *[F.col(c).alias(f"__plain_{c}") for c in carried])
+    out = d.join(plain, (F.col("__salt") == F.col("__zero")) & (F.col(key) == F.col("__key")), "left")
+    return out.select(*df.columns, *[F.coalesce(f"__hot_{c}", f"__plain_{c}").alias(c) for c in carried])
+
+
 def text_of(name: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(name), F.lit(""))

@@ -16,12 +16,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
-from .common import without
+from .common import fresh, without
 
 ROUNDS = 8
-#: The domain is less than sqrt(n)+1 larger than n, so a step leaves [0, n) with
-#: probability under n^-1/2; below n = 10^4 the bound on steps is exact.
-WALK = 160
 
 
 def _sides(n: str) -> tuple[str, str]:
@@ -48,8 +45,13 @@ def _once(x: str, n: str, key: int, back: bool) -> str:
 
 
 def permute_sql(x: str, n: str, key: int, back: bool = False) -> str:
-    """SQL for the place of ``x`` in a keyed permutation of [0, n): steps until it lies inside."""
-    again = f"aggregate(sequence(1, {WALK}), y, (z, k) -> if(z < {n}, z, {_once('z', n, key, back)}))"
+    """SQL for the place of ``x`` in a keyed permutation of [0, n): steps until it lies inside.
+
+    The domain a * b has fewer than a places beyond n, and a walk meets each of them once at
+    most, so a steps always end inside. Only a share of less than n^-1/2 of all numbers
+    walks at all, so the mean work for a row does not grow.
+    """
+    again = f"aggregate(sequence(1L, {_sides(n)[0]}), y, (z, k) -> if(z < {n}, z, {_once('z', n, key, back)}))"
     return f"aggregate(array(0), {_once(x, n, key, back)}, (y, j) -> if(y < {n}, y, {again}))"
 
 
@@ -63,7 +65,7 @@ def invert(x: str, n: str, key: int = 0) -> Column:
     return F.expr(permute_sql(x, n, key, True))
 
 
-def number_rows(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], buckets: int = 65_536) -> DataFrame:
     """``df`` with ``row_number`` (dense from 0) and ``n_rows``.
 
     The order is (hash bucket of the ``order`` columns, those columns), so it depends
@@ -71,36 +73,35 @@ def number_rows(df: DataFrame, order: list[str], buckets: int = 4096) -> DataFra
     and joined to their offsets, ``buckets`` rows at most. Rows that agree in all
     ``order`` columns are interchangeable.
     """
-    keyed = without(df, "row_number", "n_rows").withColumn("__bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    sizes = keyed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__c"))
-    upto = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = without(df, "row_number", "n_rows")
+    bucket, rn, offset = fresh(df, "__bucket", "__rn", "__offset")
+    keyed = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = keyed.groupBy(bucket).agg(F.count(F.lit(1)).alias("c"))
+    upto = W.orderBy(bucket).rowsBetween(W.unboundedPreceding, W.currentRow)
     offsets = sizes.select(
-        "__bucket",
-        (F.sum("__c").over(upto) - F.col("__c")).alias("__offset"),
-        F.sum("__c").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n_rows"),
+        bucket,
+        (F.sum("c").over(upto) - F.col("c")).alias(offset),
+        F.sum("c").over(W.orderBy(bucket).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("n_rows"),
     )
-    within = F.row_number().over(W.partitionBy("__bucket").orderBy(*[F.col(c).asc_nulls_first() for c in order]))
+    within = F.row_number().over(W.partitionBy(bucket).orderBy(*[F.col(c).asc_nulls_first() for c in order]))
     return (
-        keyed.withColumn("__rn", within.cast("long"))
-        .join(F.broadcast(offsets), "__bucket")
-        .withColumn("row_number", F.col("__offset") + F.col("__rn") - 1)
-        .drop("__bucket", "__rn", "__offset")
+        keyed.withColumn(rn, within.cast("long"))
+        .join(F.broadcast(offsets), bucket)
+        .withColumn("row_number", F.col(offset) + F.col(rn) - 1)
+        .drop(bucket, rn, offset)
     )
 
 
-def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, key: int = 20241, buckets: int = 4096) -> DataFrame:
+def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, key: int = 20241, buckets: int = 65_536) -> DataFrame:
     """``df`` with ``row_number``, ``n_rows``, ``shard`` and ``slot``: shuffled, counts at most one apart.
 
     Writing each shard sorted by slot gives the shuffled corpus. An empty table gives
     no rows; nulls in ``order`` come first; repeated rows each get a slot of their own.
     """
-    placed = number_rows(df, order, buckets).withColumn("__place", permute("row_number", "n_rows", key))
-    return (
-        without(placed, "shard", "slot")
-        .withColumn("shard", F.pmod("__place", F.lit(n_shards)).cast("int"))
-        .withColumn("slot", F.expr(f"__place div {n_shards}"))
-        .drop("__place")
-    )
+    numbered = number_rows(without(df, "shard", "slot"), order, buckets)
+    (place,) = fresh(numbered, "__place")
+    placed = numbered.withColumn(place, permute("row_number", "n_rows", key))
+    return placed.withColumn("shard", F.pmod(place, F.lit(n_shards)).cast("int")).withColumn("slot", F.expr(f"{place} div {n_shards}")).drop(place)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
