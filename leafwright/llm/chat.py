@@ -3,8 +3,12 @@
 Prefix sums of the turns' tokens choose spans: a window takes turns, in order and
 whole, while the sum from its first to its last stays in the budget. A window after
 the first opens with the system turn again and the last turns before it, as far as
-the history budget goes. Repeated turns are context only: the loss mask covers each
-assistant text once, in the window that has it first.
+the history budget and the room beside the next turn go. Repeated turns are context
+only: the loss mask covers each assistant text once, in the window that has it first.
+
+No window exceeds the budget. A turn too long for a window of its own is cut into
+pieces, which fill windows one after another; the repeat of a system turn is cut to
+half of the budget. Both are told by columns.
 
 Rows of a conversation are streamed in order through one pass, which holds a window
 and its history, never the conversation.
@@ -14,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -22,10 +27,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .bpe import TreeCodec, codec_of, vocabulary
+from .common import slices
 
 BUDGET, HISTORY_TOKENS, HISTORY_TURNS = 2048, 256, 4
-#: Tokens that a turn's markers and role cost.
-OVERHEAD = 5
+#: Tokens of a turn's markers and of the line's end after it; control strings are one token each.
+OVERHEAD = 3
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -55,29 +62,95 @@ def _render(turn: tuple[str, str]) -> tuple[str, int, int]:
     return f"{head}{body}{CLOSE}\n", len(head), len(head) + len(body)
 
 
-_SCHEMA = "conv_id long, window int, first_turn long, n_turns int, n_repeated int, n_tokens long, formatted string, loss array<struct<start:int,end:int>>"
-_SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_FIELDS = [
+    ("conv_id", "long", pa.int64()),
+    ("window", "int", pa.int32()),
+    ("first_turn", "long", pa.int64()),
+    ("n_turns", "int", pa.int32()),
+    ("n_repeated", "int", pa.int32()),
+    ("n_tokens", "long", pa.int64()),
+    ("continued", "boolean", pa.bool_()),
+    ("system_cut", "boolean", pa.bool_()),
+    ("formatted", "string", pa.string()),
+    ("loss", "array<struct<start:int,end:int>>", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+]
+_SCHEMA = ", ".join(f"{n} {t}" for n, t, _ in _FIELDS)
+
+
+def count_tokens(codec: TreeCodec, role: str, text: str) -> int:
+    """Tokens of a turn in the template."""
+    return len(codec.encode(f"{escape_role(role)}\n{escape(text)}")) + OVERHEAD
+
+
+def fitting(codec: TreeCodec, role: str, text: str, at: int, limit: int) -> tuple[str, int]:
+    """A piece of ``text`` from ``at`` on, with its tokens: some of the most that fit, one code point at least."""
+    n = min(len(text) - at, 6 * limit)
+    while True:
+        piece = text[at : at + n]
+        tokens = count_tokens(codec, role, piece)
+        if tokens <= limit or n <= 1:
+            return piece, tokens
+        n = max(1, min(n - 1, n * limit // tokens))
 
 
 class _Windows:
     """The windows of one conversation, from its turns in order."""
 
-    def __init__(self, conv_id, budget: int, history_tokens: int, history_turns: int):
-        self.conv_id, self.budget, self.history_tokens, self.history_turns = conv_id, budget, history_tokens, history_turns
-        self.system, self.head, self.turns = None, [], []
-        self.window, self.seen, self.start, self.last = 0, 0, 0, 0
+    def __init__(self, conv_id, codec: TreeCodec, budget: int, history_tokens: int, history_turns: int):
+        self.conv_id, self.codec, self.budget, self.history_tokens = conv_id, codec, budget, history_tokens
+        self.system, self.system_cut = None, False
+        self.head, self.turns, self.used, self.continued = [], [], 0, False
+        self.window, self.begun, self.first, self.last = 0, 0, 0, 0
+        self.recent: deque = deque(maxlen=history_turns)
 
     def add(self, role: str, text: str, prefix: int) -> Iterator[dict]:
         """``prefix`` is the sum of tokens up to and with this turn."""
-        turn = (role, text, prefix - self.last)
-        if self.turns and prefix - self.start + sum(t[2] for t in self.head) > self.budget:
+        tokens, self.last = prefix - self.last, prefix
+        if self.turns and self.used + tokens > self.budget:
             yield self.close()
-            self.start = self.last
-        if not self.seen and role == "system":
-            self.system = turn
-        self.turns.append(turn)
-        self.seen += 1
-        self.last = prefix
+        if not self.turns:
+            self.open(tokens)
+        if self.used + tokens <= self.budget:
+            self.put(role, text, tokens)
+        else:
+            piece, n = fitting(self.codec, role, text, 0, self.budget - self.used)
+            self.put(role, piece, n)
+            at = len(piece)
+            while at < len(text):
+                yield self.close()
+                self.open(self.budget)
+                piece, n = fitting(self.codec, role, text, at, self.budget - self.used)
+                self.turns.append((role, piece))
+                self.used, self.continued = self.used + n, True
+                at += len(piece)
+        if self.begun == 1 and role == "system":
+            # its repeats take half of the budget at most
+            self.system = (role, text, tokens)
+            if tokens > self.budget // 2:
+                cut, n = fitting(self.codec, role, text, 0, self.budget // 2)
+                self.system, self.system_cut = (role, cut, n) if n <= self.budget // 2 else None, True
+        else:
+            # a turn beyond the history's budget ends it, and is not held
+            self.recent.append((role, text if tokens <= self.history_tokens else "", tokens))
+
+    def open(self, tokens: int) -> None:
+        """A new window, whose first turn has ``tokens``."""
+        self.head = [self.system] if self.system else []
+        self.used = sum(t[2] for t in self.head)
+        past, room = [], min(self.history_tokens, self.budget - self.used - tokens)
+        for t in reversed(self.recent):
+            if t[2] > room:
+                break
+            past.append(t)
+            room -= t[2]
+            self.used += t[2]
+        self.head += reversed(past)
+        self.first, self.continued = self.begun, False
+
+    def put(self, role: str, text: str, tokens: int) -> None:
+        self.turns.append((role, text))
+        self.used += tokens
+        self.begun += 1
 
     def close(self) -> dict:
         parts, loss, at = [], [], 0
@@ -90,57 +163,62 @@ class _Windows:
         out = {
             "conv_id": self.conv_id,
             "window": self.window,
-            "first_turn": self.seen - len(self.turns),
+            "first_turn": self.first - self.continued,
             "n_turns": len(self.turns),
             "n_repeated": len(self.head),
-            "n_tokens": sum(t[2] for t in [*self.head, *self.turns]),
+            "n_tokens": self.used,
+            "continued": self.continued,
+            "system_cut": self.system_cut and self.window > 0,
             "formatted": "".join(parts),
             "loss": loss,
         }
-        past, room = [], self.history_tokens
-        for t in reversed([*self.head, *self.turns]):
-            if t is self.system or len(past) == self.history_turns or t[2] > room:
-                break
-            past.append(t)
-            room -= t[2]
-        self.head = [*([self.system] if self.system else []), *reversed(past)]
         self.turns = []
         self.window += 1
         return out
 
 
-def format_conversations(df: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS) -> DataFrame:
+def format_conversations(df: DataFrame, budget: int = BUDGET, history_tokens: int = HISTORY_TOKENS, history_turns: int = HISTORY_TURNS, path: str | None = None) -> DataFrame:
     """Windows of (conv_id, turn, role, text): formatted text, loss spans in code points, repeats first.
 
-    Turns go by turn, then role and text where it repeats; null roles and texts are empty;
-    rows of a null conv_id form one conversation. A turn that exceeds the budget alone
-    gets a window of its own, whole. An empty table gives no windows. Tokens are counted
-    as a quarter of a text's bytes, and the markers' cost.
+    Turns go by turn, then role and text where it repeats, so repeated rows are turns of
+    their own; null roles and texts are empty; rows of a null conv_id form one
+    conversation; other columns are left out. Tokens are those of the byte-level vocabulary at ``path``, one for each
+    marker. ``n_tokens`` is at most ``budget``: a turn too long for that is cut, and
+    ``continued`` tells that a window's first own turn goes on with the last one of the
+    window before. ``system_cut`` tells that the repeat of the system turn is cut. Only a role is
+    never cut, so one that fills the budget alone exceeds it. An empty table gives no
+    windows.
     """
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(path))  # a file of about 1 MB, whatever the corpus
     rows = df.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = codec_of(shared)
+        for b in slices(batches):
+            n = [count_tokens(codec, r, t) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], ["conv_id", "turn", "role", "text", "tokens"])
+
+    rows = rows.mapInArrow(count, "conv_id long, turn long, role string, text string, tokens long")
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    tokens = F.ceil(F.octet_length("text") / 4) + OVERHEAD
     run = W.partitionBy("conv_id").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     # the window leaves each conversation's rows together and in order
-    rows = rows.withColumn("prefix", F.sum(tokens).over(run).cast("long")).select("conv_id", "role", "text", "prefix")
+    rows = rows.withColumn("prefix", F.sum("tokens").over(run)).select("conv_id", "role", "text", "prefix")
 
     def run_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
-        make = lambda rows: pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], t) for k, t in (("conv_id", pa.int64()), ("window", pa.int32()), ("first_turn", pa.int64()), ("n_turns", pa.int32()), ("n_repeated", pa.int32()), ("n_tokens", pa.int64()), ("formatted", pa.string()), ("loss", _SPAN))],
-            [f.split()[0] for f in _SCHEMA.split(", ")],
-        )
+        codec, now, out = codec_of(shared), None, []
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, _, t in _FIELDS], [f[0] for f in _FIELDS])
         for b in batches:
             for conv, role, text, prefix in zip(*(b.column(j).to_pylist() for j in range(4)), strict=True):
                 # prefix sums start anew with a conversation
                 if now is None or now.conv_id != conv:
                     if now:
                         out.append(now.close())
-                    now = _Windows(conv, budget, history_tokens, history_turns)
-                out += now.add(role, text, prefix)
-            if len(out) >= 256:
-                yield make(out)
-                out = []
+                    now = _Windows(conv, codec, budget, history_tokens, history_turns)
+                for w in now.add(role, text, prefix):
+                    out.append(w)
+                    if len(out) >= 256:
+                        yield make(out)
+                        out = []
         if now:
             out.append(now.close())
         yield make(out)
@@ -157,8 +235,12 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Per conversation, digests of its turns and of the text under its loss mask, from windows alone."""
-    rows = windows.select("conv_id", "window", "n_repeated", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    """Per conversation, digests of its turns and of the text under its loss mask, from windows alone.
+
+    Windows go by number, each once; pieces of a turn are put together again. A table
+    without windows gives no rows.
+    """
+    rows = windows.select("conv_id", "window", "n_repeated", "continued", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "window")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,16 +249,26 @@ def read_back(windows: DataFrame) -> DataFrame:
         started, conv, out = False, None, []
         n = chars = shown = count = 0
         turns, loss = hashlib.sha256(), hashlib.sha256()
+
+        def done() -> tuple:
+            turns.update(b"\n")  # a conversation has a turn at least
+            return conv, n, turns.hexdigest(), chars, loss.hexdigest(), shown, count
+
         for b in batches:
-            for c, _, repeated, text, spans in zip(*(b.column(j).to_pylist() for j in range(5)), strict=True):
+            for c, _, repeated, continued, text, spans in zip(*(b.column(j).to_pylist() for j in range(6)), strict=True):
                 if not started or c != conv:
                     if started:
-                        out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), shown, count))
+                        out.append(done())
                     started, conv, n, chars, shown, count = True, c, 0, 0, 0, 0
                     turns, loss = hashlib.sha256(), hashlib.sha256()
                 for role, said in parse(text)[repeated:]:
-                    turns.update(f"{role}\n{said}\n".encode())
-                    n += 1
+                    if continued:
+                        turns.update(said.encode())
+                    else:
+                        # the end of a turn's line is known when the next one begins
+                        turns.update(f"{chr(10) if n else ''}{role}\n{said}".encode())
+                        n += 1
+                    continued = False
                 for s in spans:
                     under = unescape(text[s["start"] : s["end"]])
                     loss.update(under.encode())
@@ -187,7 +279,7 @@ def read_back(windows: DataFrame) -> DataFrame:
                 yield make(out)
                 out = []
         if started:
-            out.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), shown, count))
+            out.append(done())
         yield make(out)
 
     return rows.mapInArrow(fold, schema)

@@ -183,6 +183,7 @@ def test_op3(spark, tmp_path):
     said = lambda: "".join(rng.choices(["<|im_end|>", "<\\|", "<|", "\\", "\n", "word ", "é", "<|im_start|>assistant\n"], k=rng.randint(0, 60)))
     rows = [(c, t, ("system" if not t and c % 2 else ("user", "assistant")[t % 2]), None if rng.random() < 0.1 else said()) for c in range(12) for t in range(rng.randint(1, 30))]
     rows += [(None, None, None, None), (None, 1, "assistant", "x"), (3, 0, "user", "again"), (3, 0, "user", "again"), (50, 0, "odd\nro\\le<|", "y"), (51, 0, "assistant", "long " * 20000)]
+    rows += [(52, 0, "system", "rule " * 900)] + [(52, t, ("user", "assistant")[t % 2], "word " * 900) for t in range(1, 7)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     told = "<|im_end|><|im_start|>assistant ok"
     by = {}
@@ -198,9 +199,14 @@ def test_op3(spark, tmp_path):
             assert g.n_turns == len(turns)
             assert g.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
             assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    # windows keep to the budget unless a turn alone exceeds it
-    for w in chat.format_conversations(src, 200, 40, 2).collect():
-        assert w.n_tokens <= 200 or w.n_turns == 1
+    # every window keeps to its budget, by the tokens of what it shows, and shows the system turn
+    codec = bpe.TreeCodec(*bpe.vocabulary())
+    for budget in (60, 200):
+        for w in chat.format_conversations(src, budget, 40, 2).collect():
+            turns = chat.parse(w.formatted)
+            assert w.n_tokens == sum(chat.count_tokens(codec, *t) for t in turns) <= budget
+            if w.first_turn and min(by[w.conv_id])[1] == "system":
+                assert turns[0][0] == "system" and min(by[w.conv_id])[2].startswith(turns[0][1])
     assert chat.read_back(chat.format_conversations(src.limit(0))).count() == 0
 
 
@@ -437,7 +443,7 @@ def test_op9_tree_equals_the_library(rows, leaf):
     codec = bpe.TreeCodec(ranks, pattern, leaf)
     rng = random.Random(4)
     parts = ["a", "b", " ", "  ", "\n", "'", "'ll", "é", "中", "12", "_", "-", "\x1c", "s", "The", "  \n", "😀", "́", " "]
-    texts = [r[1] or "" for r in rows if len(r[1] or "") < 9000] + ["".join(rng.choices(parts, k=rng.randint(0, 80))) for _ in range(1500)]
+    texts = [r[1] or "" for r in rows] + ["".join(rng.choices(parts, k=rng.randint(5000, 40000))) for _ in range(20)] + ["x" * 20000, " " * 20000, "é" * 9000 + "\n" * 9000, "ab1" * 7000] + ["".join(rng.choices(parts, k=rng.randint(0, 80))) for _ in range(1500)]
     for t in texts:
         ids = codec.encode(t)
         assert ids == plain.encode_ordinary(t)
