@@ -40,16 +40,17 @@ def join_hot(df: DataFrame, side: DataFrame, key: str, spread: list[str], rows:
     part in it under keys of their own, dealt out by the columns ``spread``, and find nothing.
     """
     carried = [c for c in side.columns if c not in (key, rows)]
+    hot_key, plain_key, zero, salt, *names = fresh(df, "__hot_key", "__key", "__zero", "__salt", *(f"__hot_{c}" for c in carried), *(f"__plain_{c}" for c in carried))
+    as_hot, as_plain = names[: len(carried)], names[len(carried) :]
     total = side.agg(F.sum(rows)).first()[0] or 0
-    hot = side.where(F.col(rows) > total / hottest)
-    found = [F.col(c).alias(f"__hot_{c}") for c in carried]
-    d = df.join(F.broadcast(hot.select(F.col(key).alias("__hot_key"), *found)), F.col(key) == F.col("__hot_key"), "left")
+    hot = side.where(F.col(rows) > total / hottest).select(F.col(key).alias(hot_key), *[F.col(c).alias(n) for c, n in zip(carried, as_hot, strict=True)])
+    plain = side.where(F.col(rows) <= total / hottest).select(F.col(key).alias(plain_key), F.lit(0).cast("long").alias(zero), *[F.col(c).alias(n) for c, n in zip(carried, as_plain, strict=True)])
+    d = df.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")
     # rows without a key would all go to one task too
-    is_hot = F.col("__hot_key").isNotNull() | F.col(key).isNull()
-    d = d.withColumn("__salt", F.when(is_hot, 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(0))
-    plain = side.where(F.col(rows) <= total / hottest).select(F.col(key).alias("__key"), F.lit(0).cast("long").alias("__zero"), *[F.col(c).alias(f"__plain_{c}") for c in carried])
-    out = d.join(plain, (F.col("__salt") == F.col("__zero")) & (F.col(key) == F.col("__key")), "left")
-    return out.select(*df.columns, *[F.coalesce(f"__hot_{c}", f"__plain_{c}").alias(c) for c in carried])
+    apart = F.col(hot_key).isNotNull() | F.col(key).isNull()
+    d = d.withColumn(salt, F.when(apart, 1 + F.pmod(F.xxhash64(*spread), F.lit(1 << 20))).otherwise(0))
+    out = d.join(plain, (F.col(salt) == F.col(zero)) & (F.col(key) == F.col(plain_key)), "left")
+    return out.select(*df.columns, *[F.coalesce(h, p).alias(c) for c, h, p in zip(carried, as_hot, as_plain, strict=True)])
 
 
 def text_of(name: str = "text") -> Column:
