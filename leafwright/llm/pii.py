@@ -2,17 +2,21 @@
 
 Each entity is replaced by the image of its characters under a keyed permutation of
 all strings of its format: digits stay digits, letters stay letters of their script,
-case and kind, punctuation stays. A permutation has no collisions, so distinct
-entities stay distinct, and it depends on the key alone, so an entity has the same
-surrogate in every text: coreference holds over the corpus without a shuffle. None is
-its own surrogate. ``collisions`` checks both on what was replaced. A name is found by the
-title before it, and its words are then replaced wherever the text has them.
+case and kind, punctuation stays. Every letter and decimal digit of Unicode is in a
+class of two or more, so no value is its own surrogate. A permutation has no
+collisions, so distinct entities stay distinct, and it depends on the key alone, so an
+entity has the same surrogate in every text: coreference holds over the corpus without
+a shuffle. ``checked`` confirms on the result that no two values share a surrogate. A
+name is found by the title before it, and its words are then replaced wherever the
+text has them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from math import prod
@@ -21,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_stage
 from ..sources.tables import load
 from .common import slices, without
 
-KEY = b"surrogates-1"
+#: Setting that holds the key, the same for all texts whose entities are to correspond.
+KEY = "spark.leafwright.pii.key"
 
 # Given names by gender and script, each list a set that is permuted.
 GIVEN = {
@@ -36,16 +42,62 @@ GIVEN = {
 #: Titles that a name follows, by gender.
 TITLES = {"f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"], "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин"]}
 
-_CLASSES = [
-    "0123456789",
-    "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ",
-    "àáâãäåæèéêëìíîïòóôõöøùúûü", "ÀÁÂÃÄÅÆÈÉÊËÌÍÎÏÒÓÔÕÖØÙÚÛÜ", "çñ", "ÇÑ",
-    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕЁИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ",
-    "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ",
+# Small letters by script and kind; capitals follow from them.
+_KINDS = [
+    "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñ",
+    "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ",
 ]
-_PLACE = {c: (k, i) for k, chars in enumerate(_CLASSES) for i, c in enumerate(chars)}
-#: The class whose order stands for that of the other case.
-_FOLD = {3: 1, 4: 2, 6: 5, 8: 7, 15: 13, 16: 14}
+#: Of a character: its class, the class that stands for both cases, and its place; of a class: its characters.
+_PLACE: dict[str, tuple[str, str, int]] = {}
+_MEMBERS: dict[str, str] = {}
+#: Letters end below this code point.
+_LAST = 0x32400
+
+
+def _put(name: str, fold: str, members: str) -> None:
+    _MEMBERS[name] = members
+    _PLACE.update((c, (name, fold, i)) for i, c in enumerate(members))
+
+
+def _pair(name: str, small: str) -> None:
+    _put(f"{name} small", name, small)
+    _put(f"{name} capital", name, "".join(c.upper() for c in small))
+
+
+_put("digit", "digit", "0123456789")
+for _kind in _KINDS:
+    _pair(_kind, _kind)
+
+
+@lru_cache(maxsize=1)
+def _rest() -> None:
+    """Classes of all other letters and digits: by script, case and category; scripts of one letter share one."""
+    pairs, others = {}, {}
+    for c in map(chr, range(0x80, _LAST)):
+        kind = unicodedata.category(c)
+        if c in _PLACE or not (kind[0] == "L" or kind == "Nd"):
+            continue
+        name = unicodedata.name(c, "OTHER")
+        script = re.split(r"[ -]", name)[0]
+        if kind == "Nd":
+            others.setdefault(name.rpartition(" ")[0], []).append(c)
+        elif kind == "Ll" and len(c.upper()) == 1 and c.upper() != c and c.upper().lower() == c and c.upper() not in _PLACE:
+            pairs.setdefault(script, []).append(c)
+        elif not (kind == "Lu" and len(c.lower()) == 1 and c.lower() != c and c.lower().upper() == c and c.lower() not in _PLACE):
+            others.setdefault(f"{script} {kind}", []).append(c)
+    alone = [c for k in [k for k, v in pairs.items() if len(v) == 1] for c in (pairs[k][0], pairs.pop(k)[0].upper())]
+    alone += [c for k in [k for k, v in others.items() if len(v) == 1] for c in others.pop(k)]
+    for k, v in pairs.items():
+        _pair(f"{k} pairs", "".join(v))
+    for k, v in {**others, "alone": alone}.items():
+        _put(k, k, "".join(v))
+
+
+def _class(c: str) -> tuple[str, str, int] | None:
+    """Class, folded class and place of a character; None of what is neither letter nor digit."""
+    if c not in _PLACE and ord(c) >= 0x80:
+        _rest()
+    return _PLACE.get(c)
 
 
 class Permutation:
@@ -55,7 +107,7 @@ class Permutation:
         half = len(radices) // 2
         self.a, self.b = prod(radices[:half]), prod(radices[half:])
         self.n = self.a * self.b
-        self.head = key[:64], f"{tweak}|{radices}".encode()
+        self.head = hashlib.sha512(key).digest(), f"{tweak}|{radices}".encode()
         self.step = 1 + self._hash(99, 0) % (self.n - 1) if self.n > 1 else 0
 
     def _hash(self, i: int, x: int) -> int:
@@ -104,18 +156,17 @@ def permute_text(key: bytes, tweak: str, text: str, fixed: set[int] = frozenset(
     Upper and lower case of a letter move alike. Results for which ``bad`` holds are
     permuted on, which keeps the map one-to-one on texts for which it doesn't.
     """
-    at = [i for i, c in enumerate(text) if c in _PLACE and i not in fixed]
-    if not at:
+    placed = [(i, *k) for i, c in enumerate(text) if i not in fixed and (k := _class(c))]
+    if not placed:
         return text
-    kinds = [_PLACE[text[i]][0] for i in at]
-    radices = tuple(len(_CLASSES[k]) for k in kinds)
-    p = _permutation(key, f"{tweak}|{''.join(chr(65 + _FOLD.get(k, k)) for k in kinds)}", radices)
-    x = _number([_PLACE[text[i]][1] for i in at], radices)
+    radices = tuple(len(_MEMBERS[k]) for _, k, _, _ in placed)
+    p = _permutation(key, f"{tweak}|{'|'.join(fold for _, _, fold, _ in placed)}", radices)
+    x = _number([d for _, _, _, d in placed], radices)
     for _ in range(1000):
         x = p(x)
         out = list(text)
-        for i, k, d in zip(at, kinds, _digits(x, radices), strict=True):
-            out[i] = _CLASSES[k][d]
+        for (i, k, _, _), d in zip(placed, _digits(x, radices), strict=True):
+            out[i] = _MEMBERS[k][d]
         if not bad or not bad("".join(out)):
             return "".join(out)
     raise ValueError("no surrogate of this format")
@@ -188,7 +239,7 @@ _DEGREE = r"(?:(?:Dr|Prof|Professor|Doktor|Doctor|Dipl|Ing)\b\.?[\s\-]{1,3})*"
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _ENTITY = re.compile(
     rf"""
-    (?P<email>[\w.%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}})
+    (?P<email>(?<![\w.%+\-])[\w.%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{{2,}})
   | (?P<iban>\b[A-Z]{{2}}\d{{2}}(?:\ ?[A-Z0-9]{{4}}){{3,7}}(?:\ ?[A-Z0-9]{{1,3}})?\b)
   | (?P<ip>(?<!\d)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))
   | (?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
@@ -206,7 +257,7 @@ _FEMALE = set(TITLES["f"])
 KINDS = ["email", "phone", "card", "ip", "iban", "ssn", "name"]
 
 
-def replace(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[str, int, int, str, str]]]:
+def replace(text: str | None, key: bytes) -> tuple[str | None, list[tuple[str, int, int, str, str]]]:
     """``text`` with surrogates, and its entities: kind, start, end, value, surrogate."""
     if not text or not (_MAY.search(text) or any(t in text for t in _TITLE.split("|"))):
         return text, []
@@ -251,13 +302,24 @@ def _mentions(key: bytes, text: str, found: list[tuple[str, int, int, str, str]]
     return sorted([*found, *more], key=lambda f: f[1])
 
 
-def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
+_drawn: dict[str, bytes] = {}
+
+
+def key_of(spark: SparkSession) -> bytes:
+    """The key that the setting ``KEY`` holds; without one, a random key of this application, which ends with it."""
+    told = spark.conf.get(KEY, None)
+    return told.encode() if told else _drawn.setdefault(spark.sparkContext.applicationId, os.urandom(32))
+
+
+def pseudonymise(df: DataFrame, text: str = "text", key: bytes | None = None) -> DataFrame:
     """``df`` with surrogates in ``text``, and ``entities``: kind, start, end (code points of the old text), value, surrogate.
 
-    A null or empty text stays as it is. Rows are independent, so repeated ones have
-    equal results. An empty table gives no rows. ``entities`` holds what it replaces and
-    is to be kept as secret as the input.
+    ``key`` is by default the session's, see :func:`key_of`. A null or empty text stays as
+    it is. Texts of any length are read whole, in time that grows with them alone. Rows are
+    independent, so repeated ones have equal results. An empty table gives no rows.
+    ``entities`` holds what it replaces and is to be kept as secret as the input.
     """
+    key = key or key_of(df.sparkSession)
     df = without(df, "entities")
     at, names = df.columns.index(text), df.columns
     entity = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("surrogate", pa.string())]))
@@ -275,19 +337,22 @@ def pseudonymise(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFra
 
 
 def collisions(df: DataFrame) -> DataFrame:
-    """Surrogates (kind, surrogate, n) that stand for several values: none, as they are permuted.
+    """Surrogates (kind, surrogate, n) that stand for several values: none, as they are permuted."""
+    e = df.select(F.explode("entities").alias("e")).select("e.kind", "e.value", "e.surrogate").distinct()
+    return e.groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
-    Values are compared by letters and digits in lower case, as one entity may be written
-    in several ways.
-    """
-    e = df.select(F.explode("entities").alias("e")).select("e.kind", F.lower(F.regexp_replace("e.value", r"[ .()\-]", "")).alias("v"), F.lower(F.regexp_replace("e.surrogate", r"[ .()\-]", "")).alias("surrogate"))
-    e = e.where("kind not in ('ip', 'email')").unionByName(df.select(F.explode("entities").alias("e")).where("e.kind in ('ip', 'email')").select("e.kind", F.lower("e.value").alias("v"), F.lower("e.surrogate").alias("surrogate")))
-    return e.distinct().groupBy("kind", "surrogate").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+def checked(df: DataFrame) -> DataFrame:
+    """The table of :func:`pseudonymise`, written, once no surrogate in it stands for several values and none for itself."""
+    made = write_stage(df, "surrogates")
+    if collisions(made).limit(1).count() or made.where("exists(entities, e -> e.value = e.surrogate)").limit(1).count():
+        raise RuntimeError("surrogates collide")
+    return made
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for their personal data, and counts by kind."""
-    docs = pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = checked(pseudonymise(load(spark, sf_dir, "documents").select("doc_id", "text")))
     count = lambda k: F.expr(f"cast(size(filter(entities, e -> e.kind = '{k}')) as bigint)").alias(f"n_{k}")
     spans = F.expr("array_join(transform(entities, e -> concat(e.kind, ':', e.start, ':', e.end)), ',')").alias("spans")
     return docs.select("doc_id", "text", *map(count, KINDS), spans)

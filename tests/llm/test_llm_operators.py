@@ -1,6 +1,7 @@
 """Each training-data operator against brute force, on rows that are awkward on purpose."""
 
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -17,6 +18,7 @@ from leafwright.llm.components import connected_components
 from leafwright.llm.queries import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
+KEY = b"a key of the tests"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, spans string, kept boolean"
 
@@ -352,7 +354,10 @@ def test_op6_search_finds_all(spark):
 
 def test_op7(spark, docs):
     made = pii.pseudonymise(docs)
-    assert pii.collisions(made).count() == 0
+    assert pii.collisions(made).count() == 0 and pii.checked(made).count() == docs.count()
+    clash = "array(named_struct('kind', 'name', 'start', 0, 'end', 1, 'value', cast(id as string), 'surrogate', 'x')) AS entities"
+    with pytest.raises(RuntimeError):
+        pii.checked(spark.range(2).selectExpr(clash))
     text = next(r.text for r in made.where("doc_id = 20").collect())
     assert "a.b@mail1" not in text and "4111" not in text and text.endswith(text[-4:])
 
@@ -361,15 +366,15 @@ def test_op7_surrogates_are_distinct_alike_and_typed():
     seen = {}
     for i in range(3000):
         v = f"{i % 256}.{i // 256}.7.9"
-        (_, e), = [pii.replace(f"at {v} now")]
+        (_, e), = [pii.replace(f"at {v} now", KEY)]
         assert seen.setdefault(e[0][4], v) == v and e[0][4] != v
-    text, found = pii.replace("Mrs Anna Smith saw Mr John Smith; Mrs Smith wrote A.B@x.example.com, a.b@x.example.com.")
+    text, found = pii.replace("Mrs Anna Smith saw Mr John Smith; Mrs Smith wrote A.B@x.example.com, a.b@x.example.com.", KEY)
     names = [f for f in found if f[0] == "name"]
     assert names[0][4].split()[0] in pii.GIVEN[("f", "latin")] and names[1][4].split()[0] in pii.GIVEN[("m", "latin")]
     assert names[0][4].split()[1] == names[1][4].split()[1] == names[2][4]
     mails = [f[4] for f in found if f[0] == "email"]
     assert mails[0].lower() == mails[1].lower() and mails[0] != mails[1]
-    card = pii.replace("4111 1111 1111 1111")[1][0][4]
+    card = pii.replace("4111 1111 1111 1111", KEY)[1][0][4]
     assert pii.luhn(card.replace(" ", "")) and card[4] == " "
 
 
@@ -387,10 +392,14 @@ def test_op7_surrogates_are_distinct_alike_and_typed():
         ("Lopez rang. Mrs Anna Maria Lopez came; Maria's dog and Lopez-Diaz, not Lopezes", ["Lopez", "Anna Maria Lopez", "Maria", "Lopez"]),
         ("Mr O'Brien left, O'Brien said", ["O'Brien", "O'Brien"]),
         ("Frau über and Mr or Mrs", []),
+        ("Mr 李明 came, then 李明 left", ["李明", "李明"]),
+        ("Herr Šmíd kam", ["Šmíd"]),
+        ("Госпожа ИВАНОВА пришла", ["ИВАНОВА"]),
+        ("Mr משה came; Mr محمد too; Mr 김철수", ["משה", "محمد", "김철수"]),
     ],
 )
 def test_op7_names_whole_and_again(text, names):
-    new, found = pii.replace(text)
+    new, found = pii.replace(text, KEY)
     assert [f[3] for f in found] == names
     at, back = 0, ""
     for kind, start, end, value, surrogate in found:
@@ -405,6 +414,37 @@ def test_op7_names_whole_and_again(text, names):
             assert made.setdefault(a, b) == b
 
 
+def test_op7_every_letter_is_replaced():
+    import unicodedata
+
+    pii._class("é"), pii._class("李")
+    for c in map(chr, range(0x110000)):
+        if unicodedata.category(c)[0] == "L" or unicodedata.category(c) == "Nd":
+            name, fold, place = pii._class(c)
+            assert len(pii._MEMBERS[name]) > 1 and pii._MEMBERS[name][place] == c
+    # cases of a letter move alike, in every script that has them
+    for a in ("šmíd", "иванова", "γιώργο", "անի"):
+        assert pii.permute_text(KEY, "t", a.upper()) == pii.permute_text(KEY, "t", a).upper()
+    # one-to-one on all strings of a format, by brute force
+    for word in ("ab", "7é", "çñ1", "ы9"):
+        options = [pii._MEMBERS[pii._class(c)[0]] for c in word]
+        every = ["".join(t) for t in itertools.product(*options)]
+        images = [pii.permute_text(KEY, "t", t) for t in every]
+        assert sorted(images) == sorted(every) and all(a != b for a, b in zip(every, images, strict=True))
+    assert pii.permute_text(KEY, "t", "abc") != pii.permute_text(b"another", "t", "abc")
+
+
+def test_op7_key_is_the_session_s(spark):
+    assert pii.key_of(spark) == pii.key_of(spark) and len(pii.key_of(spark)) == 32
+    spark.conf.set(pii.KEY, "told")
+    try:
+        assert pii.key_of(spark) == b"told"
+        got = pii.pseudonymise(spark.createDataFrame([("Mr Anna Smith",)], "text string")).first()
+        assert got.text == pii.replace("Mr Anna Smith", b"told")[0]
+    finally:
+        spark.conf.unset(pii.KEY)
+
+
 def test_op8_meets_targets(spark, folder):
     got = mixing.op8_mixing(spark, folder).collect()
     for r in got:
@@ -466,14 +506,51 @@ def test_op10_oracle_on_awkward_rows(spark, folder):
     assert sorted(got, key=key) == sorted(cur.fetchall(), key=key)
 
 
-def test_op10_ledger_scans_nothing_twice(spark, docs):
-    _, ledger = secrets.scan(docs)
-    ledger = spark.createDataFrame(ledger.collect(), ledger.schema)
-    found, new = secrets.scan(docs, ledger=ledger)
-    assert new.count() == 0
+def test_op10_ledger_scans_nothing_twice(spark, docs, rows, tmp_path, monkeypatch):
+    found, ledger = secrets.scan(docs)
+    # clean blobs are in it as well, each once
+    assert sorted(r.blob for r in ledger.collect()) == sorted({hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows})
     hit = found.where("doc_id = 21").first()
     assert [s.kind for s in hit.spans] == ["assign", "hex", "access"]
     assert hit.redacted == "<SECRET>\" <SECRET>"
+    # kept in a folder: what a second run scans, and what it finds
+    path = f"{tmp_path}/ledger"
+    first = secrets.scan_with_ledger(docs.where("doc_id != 21"), path=path).collect()
+    assert spark.read.parquet(path).where("size(spans) > 0").count() == 0
+    again = sorted(map(str, secrets.scan_with_ledger(docs, path=path).collect()))
+    assert again == sorted(map(str, found.collect())) and len(first) == len(rows) - 3  # null ids are left out too
+    size = spark.read.parquet(path).count()
+    assert size == ledger.count()
+    # a third run scans no blob: each one scanned would now have a span
+    fake = "array(named_struct('kind', 'x', 'start', 0, 'end', 0)) AS spans"
+    monkeypatch.setattr(secrets, "scan_blobs", lambda b: b.selectExpr("blob", f"'{secrets.RULE_VERSION}' AS rule_version", fake, "'' AS redacted"))
+    assert sorted(map(str, secrets.scan_with_ledger(docs.where("doc_id is not null"), path=path).collect())) == sorted(x for x in again if "doc_id=None" not in x)
+    assert spark.read.parquet(path).count() == size
+
+
+def test_op10_ledger_rows_may_repeat(spark, docs, rows):
+    found, ledger = secrets.scan(docs)
+    twice, new = secrets.scan(docs, ledger=ledger.unionByName(ledger))
+    assert new.count() == 0 and sorted(map(str, twice.collect())) == sorted(map(str, found.collect()))
+
+
+@pytest.mark.parametrize("text", ["a" * 10**6, "eyJ" * 330_000, "eyJa." * 200_000, "http://" * 140_000, "a-" * 500_000, "password " * 110_000, "0@" * 500_000, "a.b" * 330_000 + "1", "x@y." * 250_000, "+1 " * 330_000, "Mr Anna " + "b-" * 400_000 + "1"])
+def test_long_runs_take_seconds(text):
+    import time
+
+    start = time.time()
+    secrets.find(text)
+    pii.replace(text + " 1@", b"test")
+    assert time.time() - start < 20
+
+
+def test_op10_linear_rules_equal_the_rules():
+    rng = random.Random(8)
+    parts = ["eyJ", "eyJab", ".", "..", "abc", "-", "_", " ", "http", "://", "u", ":", "pw", "@", "9", "x" * 20]
+    for _ in range(5000):
+        t = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        want = sorted((m.start(), i, m.end()) for i, (_, p, n) in enumerate(secrets.RULES) for m in re.finditer(p, t) if len(m[1]) >= n)
+        assert secrets.find(t) == want
 
 
 def test_prefilter_is_wider_than_the_rules():
