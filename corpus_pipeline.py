@@ -22,7 +22,7 @@ from leafwright.llm.common import n_words
 from leafwright.llm.mixing import mix
 from leafwright.llm.neardup import deduplicate
 from leafwright.llm.quality import score_quality
-from leafwright.llm.secrets import scan
+from leafwright.llm.secrets import scan_with_ledger
 from leafwright.session import write_stage
 from leafwright.sources.tables import load
 
@@ -44,7 +44,7 @@ def neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with their secrets replaced."""
-    found, _ = scan(docs.select(COLUMNS))
+    found = scan_with_ledger(docs.select(COLUMNS))
     changed = F.size("spans") > 0
     n = F.when(changed, F.char_length("redacted").cast("long")).otherwise(F.col("n_chars"))
     return found.select("doc_id", F.col("redacted").alias("text"), "lang", "source", n.alias("n_chars"))
