@@ -50,7 +50,7 @@ PREFILTER = (
 #: from their first one only, and a token's three parts are looked for among parts already split.
 _LINEAR = {"login": r"(?<![a-z])([a-z]++://[A-Za-z0-9._-]++:[A-Za-z0-9._!$*+-]++@)"}
 _COMPILED = [(re.compile(_LINEAR.get(k, p)), n) for k, p, n in RULES]
-_PARTS = re.compile(r"[A-Za-z0-9_-]++(?:[.][A-Za-z0-9_-]++)++")
+_PARTS = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:[.][A-Za-z0-9_-]++)++")
 _JWT = [k for k, _, _ in RULES].index("jwt")
 
 
