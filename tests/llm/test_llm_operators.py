@@ -456,19 +456,62 @@ def test_op8_meets_targets(spark, folder):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
-def test_op8_tree_splits_exactly():
-    quotas = {"a": 1000, "b": 37, None: 5, "c": 0}
-    got = mixing.split_quotas(quotas, 8)
-    assert {k: sum(v) for k, v in got.items()} == quotas
-    loads = [sum(v[i] for v in got.values()) for i in range(8)]
+def brute_tree(units, n_shards, seed=mixing.SEED):
+    """Shards of (source, unit) pairs by the tree, node after node."""
+    out = {}
+
+    def node(lo, hi, members):
+        if hi - lo == 1:
+            out.update((m, lo) for m in members)
+            return
+        mid = (lo + hi) // 2
+        key = lambda m: (int(hashlib.md5(f"{seed}|{lo}|{hi}|{m[1]}|{'n' if m[0] is None else 's' + m[0]}".encode()).hexdigest()[:15], 16), m[0] is None, m[0] or "", m[1])
+        members = sorted(members, key=key)
+        room = len(members) * (mid - lo) // (hi - lo)
+        node(lo, mid, members[:room])
+        node(mid, hi, members[room:])
+
+    node(0, n_shards, units)
+    return out
+
+
+@pytest.mark.parametrize("n_shards", [1, 3, 8])
+def test_op8_tree_by_brute_force(spark, n_shards):
+    quotas = {"a": 500, "b": 37, None: 5, "c": 1}
+    units = [(s, u) for s, q in quotas.items() for u in range(q)]
+    got = mixing.split_units(spark.createDataFrame(units, "source string, unit long").repartition(3), n_shards, buckets=16).collect()
+    assert {(r.source, r.unit): r.shard for r in got} == brute_tree(units, n_shards) and len(got) == len(units)
+    loads = [sum(r.shard == i for r in got) for i in range(n_shards)]
     assert max(loads) - min(loads) <= 3
 
 
-def test_op8_draws_lie_in_shards(spark, docs):
-    d = mixing.mix(docs.withColumn("words", F.expr("cast(coalesce(n_chars, 0) as bigint)")), size="words").select("source", F.explode("draws").alias("d")).select("source", "d.*")
-    # a block of a source lies in one shard
-    assert d.groupBy("source", "block").agg(F.countDistinct("shard").alias("n")).where("n > 1").count() == 0
-    assert d.where("shard < 0 or shard > 7").count() == 0
+def test_op8_draws_follow_the_tree(spark, docs, rows):
+    """Quotas of blocks, shards and places by brute force over the awkward rows."""
+    d = mixing.mix(docs.withColumn("words", F.expr("cast(coalesce(n_chars, 0) as bigint)")), size="words")
+    assert [c for c in d.columns if c.startswith("__")] == []
+    units = {}
+    for r in d.collect():
+        h = int(hashlib.md5(f"{mixing.SEED}|{'' if r.doc_id is None else r.doc_id}|{r.text or ''}".encode()).hexdigest()[:15], 16)
+        for x in r.draws:
+            assert x.unit % 256 == h >> 52
+            assert x.place == int(hashlib.md5(f"{mixing.SEED}|{x.shard}|{x.unit}|{h}".encode()).hexdigest()[:15], 16)
+            assert units.setdefault((r.source, x.unit), x.shard) == x.shard
+    slim = docs.select("source", mixing.order_hash(mixing.SEED).alias("h"), F.expr("cast(coalesce(n_chars, 0) as bigint)").alias("size"))
+    every = [(r.source, u.unit) for r in mixing.plan(slim, 8, mixing.SEED, 256).collect() for u in r.units or []]
+    tree = brute_tree(every, 8)
+    assert units and all(tree[k] == v for k, v in units.items())
+    # quotas are whole passes and the blocks up to the cut
+    for r in mixing.plan(slim, 8, mixing.SEED, 256).collect():
+        assert len(r.units or []) == r.passes + (r.cut >= 0 and r.block <= r.cut >> 52)
+
+
+def test_op8_shards_lie_in_order_of_place(spark, docs):
+    d = mixing.mix(docs.withColumn("words", F.expr("cast(coalesce(n_chars, 0) as bigint)")), size="words")
+    out = mixing.shuffled(d).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).collect()
+    assert len(out) == d.select(F.sum(F.size("draws"))).first()[0]
+    for part in {r.part for r in out}:
+        mine = [(r.shard, r.place) for r in sorted(out, key=lambda r: r["at"]) if r.part == part]
+        assert mine == sorted(mine)
 
 
 @pytest.mark.parametrize("leaf", [5, 64, bpe.LEAF])
