@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from leafwright.llm.bpe import encode
 from leafwright.llm.common import n_words
-from leafwright.llm.mixing import mix
+from leafwright.llm.mixing import mix, shuffled
 from leafwright.llm.neardup import deduplicate
 from leafwright.llm.quality import score_quality
 from leafwright.llm.secrets import scan_with_ledger
@@ -51,9 +51,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix draws it, up to twice."""
+    """Each document as often as the mix draws it, up to twice, in the shards' shuffled order."""
     sized = docs.select(COLUMNS).withColumn("size", n_words(F.col("text")))
-    return mix(sized).withColumn("draw", F.explode("draws")).select(COLUMNS)
+    return shuffled(mix(sized)).select(COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
