@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..session import write_stage
 from ..sources.tables import load
-from .common import text_of, without
+from .common import fresh, join_hot, text_of, without
 
 #: Sixteen-bit counters hold this many votes.
 CHUNK = 60_000
+#: Bytes of text that a range of neighbours is to hold.
+RANGE_BYTES = 64 << 20
 
 
 def terms(text: str) -> Column:
@@ -46,8 +48,10 @@ def simhash(hashes: str) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the fingerprint of a non-null text column as long ``name``."""
-    return without(df, name).withColumn("__terms", terms(text)).withColumn(name, simhash("__terms")).drop("__terms")
+    """``df`` with the fingerprint of a non-null text column as long ``name``; texts of any length are read whole."""
+    df = without(df, name)
+    (made,) = fresh(df, "__terms")
+    return df.withColumn(made, terms(text)).withColumn(name, simhash(made)).drop(made)
 
 
 def as_hex(fp: str) -> Column:
@@ -71,7 +75,7 @@ def block_tables(df: DataFrame, fp: str, radius: int = 3, blocks: int = 6) -> Da
 
 
 def within_radius(queries: DataFrame, base: DataFrame, fp: str, radius: int = 3, blocks: int = 6) -> DataFrame:
-    """Pairs (query_fp, fp) of distinct fingerprints at most ``radius`` bits apart, each once.
+    """Pairs (query_fp, fp) of fingerprints at most ``radius`` bits apart, equal ones included, each once.
 
     Both inputs must hold distinct fingerprints in column ``fp``. Every such pair is
     found: it agrees in ``blocks - radius`` blocks, which are the key of some table.
@@ -82,54 +86,90 @@ def within_radius(queries: DataFrame, base: DataFrame, fp: str, radius: int = 3,
     return q.join(b.withColumnRenamed("__key", "__other"), (F.col("__key") == F.col("__other")) & near).select("query_fp", "fp").distinct()
 
 
-def with_next(df: DataFrame, key: str, tie: str, carry: dict[str, str], buckets: int = 256, prepare=lambda d: d) -> DataFrame:
+def count_near(df: DataFrame, fp: str, asked: str, name: str = "n_near", radius: int = 3, blocks: int = 6) -> DataFrame:
+    """``df`` with ``name``: for rows on which ``asked`` holds, how many other rows have a fingerprint within ``radius``.
+
+    Rows with the same fingerprint count too, each; others get null. Fingerprints meet as
+    distinct ones with their numbers of rows, so copies are not expanded into pairs.
+    """
+    df = without(df, name)
+    members = df.groupBy(F.col(fp).alias("fp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr(asked)).alias("asked"))
+    members = write_stage(members, "members")
+    found = within_radius(members.where("asked > 0"), members, "fp", radius, blocks).join(members.select("fp", "n"), "fp")
+    found = found.groupBy("query_fp").agg((F.sum("n") - 1).alias(name)).join(members.select(F.col("fp").alias("query_fp"), "asked"), "query_fp")
+    found = write_stage(found.withColumnRenamed("query_fp", fp), "near")
+    first = join_hot(df.where(asked), found, fp, [c for c in df.columns if c != fp][:2], "asked")
+    return first.unionByName(df.where(f"not coalesce({asked}, false)").withColumn(name, F.lit(None).cast("long")))
+
+
+def ranges(df: DataFrame, key: str, tie: str, parts: int, buckets: int = 256) -> Column:
+    """The number of a row's range: ranges follow one another in descending ``key``, nulls last, then ascending ``tie``.
+
+    ``buckets`` quantiles of the key part its values, and each bucket is cut into
+    ``parts``: by the key, or by the tie where it holds one value only. A value that is
+    several quantiles gets a bucket of its own, so a hot key is cut by its ties.
+    """
+    row = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 10000).alias("q"), F.min(key).alias("lo"), F.max(key).alias("hi")).first()
+    q = sorted(row.q or [])
+    hot = {a for a, b in zip(q, q[1:], strict=False) if a == b}
+    bounds = sorted({*q, *(x + 1 for x in hot if x < row.hi)}, reverse=True)
+    by_tie = F.least(F.lit(parts - 1), F.floor((F.col(tie).cast("double") / 2.0**64 + 0.5) * parts)).cast("long")
+    if row.lo is None:
+        return by_tie
+    longs = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
+    at = F.expr(f"size(filter({longs(bounds)}, x -> x > {key}))") if bounds else F.lit(0)
+    # bucket i holds the keys from lows[i] up to, not with, highs[i]
+    highs, lows = [row.hi + 1, *bounds], [*bounds, min(row.lo, bounds[-1] if bounds else row.lo)]
+    high, low = F.element_at(F.expr(longs(highs)), at + 1), F.element_at(F.expr(longs(lows)), at + 1)
+    by_key = F.floor((high - 1 - F.col(key)).cast("double") / F.greatest(high - low, F.lit(1)).cast("double") * parts)
+    inside = F.when(high - low <= 1, by_tie).otherwise(F.greatest(F.lit(0), F.least(F.lit(parts - 1), by_key)))
+    return F.when(F.col(key).isNull(), (len(bounds) + 1) * parts + by_tie).otherwise(at * parts + inside).cast("long")
+
+
+def with_next(df: DataFrame, key: str, tie: str, carry: dict[str, str], parts: int = 1, prepare=lambda d: d) -> DataFrame:
     """``df`` with columns of the next row in descending ``key`` (nulls last), the first row following the last.
 
     ``carry`` maps columns to the names that the next row's values get. Rows are dealt to
-    ranges of the key, by at most ``buckets`` bounds, and ordered within them; the first
-    row of each range is dealt to the range before it too, so that all but the key's
-    bounds stays where it is. Equal keys follow in the order of ``tie``. ``prepare`` adds
-    columns to carry: it is applied once the few rows that are dealt twice are picked.
+    ``ranges`` of the key and ordered within them; the first row of each range is dealt to
+    the range before it too, so that rows move once. Equal keys follow in the order of
+    ``tie``. ``prepare`` adds columns to carry: it is applied once the few rows that are
+    dealt twice are picked. A single row is its own next one; an empty table gives none.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(key, cuts, 10000).alias("q")).first()
-    bounds = sorted(set(row.q or []), reverse=True)
-    # ranges count up as keys go down; a null key comes after all
-    at = F.coalesce(F.expr(f"size(filter(array({', '.join(f'{x}L' for x in bounds)}), x -> x > {key}))") if bounds else F.lit(0), F.lit(len(bounds) + 1)).cast("int")
-    d = df.withColumn("__range", F.when(F.col(key).isNull(), len(bounds) + 1).otherwise(at))
+    at, ghost, hk, ht, to = fresh(df, "__range", "__ghost", "__hk", "__ht", "__to")
+    d = df.withColumn(at, ranges(df, key, tie, parts))
     order = [F.col(key).desc_nulls_last(), F.col(tie).asc()]
-    heads = d.groupBy("__range").agg(F.max_by(F.struct(key, tie), F.struct(F.coalesce(F.col(key), F.lit(-(2**63)).cast("long")), -F.col(tie).cast("decimal(20,0)"))).alias("h"))
-    cyc = W.orderBy("__range")  # a row for each range
-    before = F.coalesce(F.lag("__range").over(cyc), F.max("__range").over(W.partitionBy()))
-    heads = heads.select(F.col(f"h.{key}").alias("__hk"), F.col(f"h.{tie}").alias("__ht"), before.alias("__to"))
-    ghosts = d.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col("__hk")) & (F.col(tie) == F.col("__ht"))).dropDuplicates(["__to"])
-    ghosts = ghosts.withColumn("__range", F.col("__to")).withColumn("__ghost", F.lit(1)).drop("__to", "__hk", "__ht")
-    both = prepare(d.withColumn("__ghost", F.lit(0))).unionByName(prepare(ghosts))
-    w = W.partitionBy("__range").orderBy(F.col("__ghost"), *order)
+    heads = d.groupBy(at).agg(F.max_by(F.struct(key, tie), F.struct(F.coalesce(F.col(key), F.lit(-(2**63)).cast("long")), -F.col(tie).cast("decimal(20,0)"))).alias("h"))
+    cyc = W.orderBy(at)  # a row for each range
+    before = F.coalesce(F.lag(at).over(cyc), F.max(at).over(W.partitionBy()))
+    heads = heads.select(F.col(f"h.{key}").alias(hk), F.col(f"h.{tie}").alias(ht), before.alias(to))
+    ghosts = d.join(F.broadcast(heads), F.col(key).eqNullSafe(F.col(hk)) & (F.col(tie) == F.col(ht))).dropDuplicates([to])
+    ghosts = ghosts.withColumn(at, F.col(to)).withColumn(ghost, F.lit(1)).drop(to, hk, ht)
+    both = prepare(d.withColumn(ghost, F.lit(0))).unionByName(prepare(ghosts))
+    w = W.partitionBy(at).orderBy(F.col(ghost), *order)
     for have, name in carry.items():
         both = both.withColumn(name, F.lead(have).over(w))
-    return both.where("__ghost = 0").drop("__range", "__ghost")
+    return both.where(F.col(ghost) == 0).drop(at, ghost)
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts.
 
     A null text is empty and has fingerprint 0, as a text without words. A single
-    document is its own next one. ``n_near``, of documents whose id is divisible by 20,
-    counts the other documents' distinct fingerprints within 3 bits, found in the
+    document is its own next one; repeated rows follow one another; an empty table gives
+    no rows. ``n_near``, of documents whose id is divisible by 20, counts the other
+    documents whose fingerprints are within 3 bits, equal ones included, found in the
     permuted block tables; it is null for the rest.
     """
     docs = load(spark, sf_dir, "documents").select("doc_id", text_of().alias("text"))
     d = docs.withColumn("tie", F.xxhash64("text"))
-    d = with_next(d, "doc_id", "tie", {"text": "next_text", "fp": "next_fp"}, prepare=lambda x: with_fingerprint(x, "text", "fp"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + size // (256 * RANGE_BYTES)
+    d = with_next(d, "doc_id", "tie", {"text": "next_text", "fp": "next_fp"}, parts, prepare=lambda x: with_fingerprint(x, "text", "fp"))
     d = d.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), substring(next_text, 1, cast(n_chars div 2 as int)))")
     d = with_fingerprint(d.withColumn("edited", edited), "edited", "edited_fp")
     d = write_stage(d.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fp", "edited_fp", "next_fp"), "simhash")
-    distinct = d.select("fp").distinct()
-    queries = d.where("doc_id % 20 = 0").select("fp").distinct()
-    near = within_radius(queries, distinct, "fp").where("query_fp != fp").groupBy("query_fp").agg(F.count(F.lit(1)).alias("__near"))
-    d = d.join(near, F.when(F.expr("doc_id % 20 = 0"), F.col("fp")) == F.col("query_fp"), "left")
+    d = count_near(d, "fp", "doc_id % 20 = 0")
     return d.select(
         "doc_id",
         "n_chars",
@@ -138,5 +178,5 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_hex("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
-        F.when(F.expr("doc_id % 20 = 0"), F.coalesce("__near", F.lit(0))).cast("long").alias("n_near"),
+        "n_near",
     )

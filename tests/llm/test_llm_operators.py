@@ -310,25 +310,51 @@ def test_op5_verdicts_on_labels(spark):
     assert n.get((1, False), 0) == 0 and n[(0, False)] > 5 * n.get((0, True), 0)
 
 
-def test_op6(spark, folder, rows):
-    got = fingerprints.op6_fingerprints(spark, folder).collect()
-    known = [r for r in rows if r[0] is not None]
-    order = sorted({r[0]: r[1] or "" for r in known}.items(), reverse=True)
-    after = dict(zip([k for k, _ in order], [t for _, t in order[1:]], strict=False))
-    same = {}
-    for r in got:
-        if r.doc_id is not None:
-            same.setdefault(dict(order)[r.doc_id], set()).add(r.fingerprint)
-            # ids that repeat follow each other, and the last known one is followed by the null ids
-            if r.doc_id not in (0, 5):
-                text = dict(order)[r.doc_id]
-                half = len(text) // 2
-                edited = text[: len(text) - half] + after[r.doc_id][:half]
-                if r.doc_id != 6:
-                    assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
-        assert (r.n_near is not None) == (r.doc_id is not None and r.doc_id % 20 == 0)
-    assert all(len(v) == 1 for v in same.values())
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def brute_simhash(text):
+    words = [w for w in re.split("[\\x20\\x09-\\x0D]+", text.lower()) if w]
+    h = [signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in words]
+    two = lambda a, b: signed(xxhash.xxh64(struct.pack("<q", b), seed=xxhash.xxh64(struct.pack("<q", a), seed=42).intdigest()).intdigest())
+    h = [two(a, b) for a, b in zip(h, h[1:], strict=False)] if len(h) > 1 else h
+    return sum(1 << k for k in range(64) if 2 * sum((x >> k) & 1 for x in h) > len(h)) if h else 0
+
+
+def check_op6(got, rows):
+    """Every column of every row, repeated and null ids included."""
+    tie = lambda t: signed(xxhash.xxh64(t.encode(), seed=42).intdigest())
+    order = sorted(((r[0], r[1] or "") for r in rows), key=lambda r: (r[0] is None, -(r[0] or 0), tie(r[1])))
+    fps = {t: brute_simhash(t) for _, t in order}
+    want = []
+    for i, (doc, text) in enumerate(order):
+        after = order[(i + 1) % len(order)][1]
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        fp, efp = fps[text], brute_simhash(edited)
+        like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+        near = sum((fps[t] ^ fp).bit_count() <= 3 for _, t in order) - 1 if doc is not None and doc % 20 == 0 else None
+        want.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), f"{fp:016x}", f"{efp:016x}", like(fp, efp), like(fp, fps[after]), near))
+    have = [(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next, r.n_near) for r in got]
+    assert sorted(map(str, have)) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("size", [fingerprints.RANGE_BYTES, 100])
+def test_op6(spark, folder, rows, monkeypatch, size):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
+    check_op6(fingerprints.op6_fingerprints(spark, folder).collect(), rows)
+
+
+def test_op6_hot_ids_and_copies(spark, tmp_path, monkeypatch):
+    """A third of all rows under one id, a third under none, copies within the radius."""
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1)
+    rng = random.Random(6)
+    rows = [(20 if i % 3 == 0 else None if i % 3 == 1 else 20 * i, "same text in all of these" if i % 2 else " ".join(rng.choices("abcdef", k=9))) for i in range(150)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    d = spark.read.parquet(f"{tmp_path}/documents.parquet").withColumn("tie", F.xxhash64("text"))
+    spread = d.withColumn("r", fingerprints.ranges(d, "doc_id", "tie", 7)).where("doc_id = 20").agg(F.countDistinct("r")).first()[0]
+    assert spread > 3
+    check_op6(fingerprints.op6_fingerprints(spark, str(tmp_path)).collect(), rows)
 
 
 def test_op6_votes_by_brute_force(spark):
@@ -346,10 +372,10 @@ def test_op6_search_finds_all(spark):
     near = lambda x: x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6)))
     base = [rng.getrandbits(64) for _ in range(20)]
     fps = sorted({near(b) for b in base for _ in range(8)})
-    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
-    d = spark.createDataFrame([(x,) for x in signed], "fp long")
+    longs = [signed(x) for x in fps]
+    d = spark.createDataFrame([(x,) for x in longs], "fp long")
     got = {(r.query_fp, r.fp) for r in fingerprints.within_radius(d, d, "fp").collect()}
-    assert got == {(a, b) for a, x in zip(signed, fps, strict=True) for b, y in zip(signed, fps, strict=True) if (x ^ y).bit_count() <= 3}
+    assert got == {(a, b) for a, x in zip(longs, fps, strict=True) for b, y in zip(longs, fps, strict=True) if (x ^ y).bit_count() <= 3}
 
 
 def test_op7(spark, docs):
