@@ -18,6 +18,7 @@ blocks gets a task, whose links (a forest, not pairs) are joined by components a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import write_stage
 from ..sources.tables import load
-from .common import without
+from .common import fresh, join_hot
 from .components import connected_components
 
 SHINGLE = 4
@@ -130,64 +131,55 @@ def _sketched(docs: DataFrame, t: int, rows: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node binary, keys array<long>")
 
 
-class _Forest:
-    """Union and find over 0..n-1."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def roots(self) -> np.ndarray:
-        while not np.array_equal(self.up, self.up[self.up]):
-            self.up = self.up[self.up]
-        return self.up
-
-
 def linked(sets: list[np.ndarray], cut: int = 0) -> np.ndarray:
     """The components of ``sets`` under 100 * common >= 80 * union, as least indices.
 
-    With ``cut``, only pairs of an index below it and one from it on are compared, and
-    those below it or from it on among themselves are left to other calls. A pivot meets
-    all others by counts over an index; pivots go on until all sets that were none are in
-    one component, so every pair not known as linked is compared.
+    With ``cut``, only pairs of an index below it and one from it on are compared, by
+    pivots of the smaller side, and those below it or from it on among themselves are left
+    to other calls. A pivot meets all others by counts over an index, in time that grows
+    with its hits alone; pivots go on until all sets that were none are in one component,
+    so every pair not known as linked is compared. The smallest component is next, so that
+    a large one is left to the end.
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     ids = np.unique(np.concatenate(sets), return_inverse=True)[1] if n else np.empty(0, np.int64)
     ends = np.cumsum(sizes)
-    owner = np.repeat(np.arange(n), sizes)
     order = np.argsort(ids, kind="stable")
-    posting = owner[order]
+    posting = np.repeat(np.arange(n), sizes)[order]
     first = np.searchsorted(ids[order], np.arange(len(ids) and ids.max() + 2))
+    low = cut <= n - cut
+    pivots = range(n) if not cut else range(cut) if low else range(cut, n)
     label = np.arange(n)
-    todo = np.ones(n, bool)
-    while True:
-        left = np.flatnonzero(todo)
-        if not len(left):
-            break
-        if cut:
-            low, high = left[left < cut], left[left >= cut]
-            if not len(low) or not len(high):
-                break
-            if len(np.unique(label[left])) == 1:
-                break
-            left = low if len(low) <= len(high) else high
-        elif len(np.unique(label[left])) == 1:
-            break
-        # a member of the smallest component, so that the large one is left to the end
-        values, counts = np.unique(label[left], return_counts=True)
-        # the first pivot opens the round of a cluster that is all singles
-        p = left[label[left] == values[np.argmin(counts)]][0]
-        todo[p] = False
+    members = {i: [i] for i in range(n)}
+    todo = {i: [i] if i in pivots else [] for i in range(n)}
+    # of each component, its sets that were no pivots yet; how many components have any
+    alive, live = dict.fromkeys(range(n), 1), n
+    heap = [(1, i) for i in pivots]
+    while heap and live > 1:
+        size, k = heappop(heap)
+        if k not in members or alive[k] != size or not todo[k]:
+            continue  # an entry from before the component changed
+        p = todo[k].pop()
+        alive[k] -= 1
+        live -= not alive[k]
         mine = ids[ends[p] - sizes[p] : ends[p]]
-        hits = np.concatenate([posting[first[x] : first[x + 1]] for x in mine])
-        common = np.bincount(hits, minlength=n)
-        near = 100 * common >= PERCENT * (sizes + sizes[p] - common)
+        met, common = np.unique(np.concatenate([posting[first[x] : first[x + 1]] for x in mine]), return_counts=True)
+        near = 100 * common >= PERCENT * (sizes[met] + sizes[p] - common)
         if cut:
-            near &= (np.arange(n) < cut) != (p < cut)
-        met = np.unique(label[near])
-        if len(met):
-            met = np.unique(np.append(met, label[p]))
-            label[np.isin(label, met)] = met[0]
+            near &= (met < cut) != (p < cut)
+        joined = {k, *label[met[near]].tolist()}
+        root = max(joined, key=lambda x: len(members[x]))
+        for x in joined - {root}:
+            live -= bool(alive[x]) and bool(alive[root])
+            label[members[x]] = root
+            members[root] += members.pop(x)
+            todo[root] += todo.pop(x)
+            alive[root] += alive.pop(x)
+        if todo[root]:
+            heappush(heap, (alive[root], root))
+    for ms in members.values():
+        label[ms] = min(ms)
     return label
 
 
@@ -226,17 +218,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def near_components(docs: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component) for every row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, component, component_id) for every row of ``docs`` (doc_id, text).
 
-    ``component`` identifies the documents reachable over links, null where a text has no
-    words (such texts link with nothing). Repeated rows are in one component. With 32
+    ``component`` identifies the documents reachable over links, and ``component_id`` is
+    their least doc_id; both are null where a text has no words (such texts link with
+    nothing). Repeated rows are in one component; texts of any length are read whole; an
+    empty table gives no rows. With 32
     bands of 4 a pair at similarity 0.8 shares none with probability 5e-8; what shares one
     is verified on full sets.
     """
     all_ = write_stage(_sketched(docs, coordinates, rows), "sketches")
     # a row for each distinct set; its text is fetched by the least (text_hash, doc_id)
     rep = F.min(F.struct("text_hash", "doc_id")).alias("rep")
-    nodes = all_.where("node is not null").groupBy("node").agg(rep, F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
+    copies = F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("least")
+    nodes = all_.where("node is not null").groupBy("node").agg(rep, *copies, F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     nodes = write_stage(nodes, "nodes")
     placed = nodes.select("node", F.explode("keys").alias("key"))
     least = placed.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -257,9 +252,12 @@ def near_components(docs: DataFrame, coordinates: int = COORDINATES, rows: int =
         joined = connected_components(links)
     else:  # forests of whole clusters are stars already
         joined = links.select(F.col("b").alias("node"), F.col("a").alias("component"))
-    joined = joined.withColumnRenamed("node", "__n")
-    out = all_.join(joined, F.col("node") == F.col("__n"), "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("component", "node").alias("component"))
+    # a component's nodes, and a node's documents, may be a third of all: both joins part hot keys
+    classes = nodes.select("node", "copies", "least").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    classes = write_stage(classes, "classes")
+    least = write_stage(classes.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")), "components")
+    classes = write_stage(join_hot(classes.drop("least"), least, "component", ["node"], "n"), "classes")
+    return join_hot(all_.drop("keys"), classes, "node", ["doc_id", "text_hash"], "copies").drop("node")
 
 
 def near_duplicates(docs: DataFrame, **how) -> DataFrame:
@@ -270,9 +268,7 @@ def near_duplicates(docs: DataFrame, **how) -> DataFrame:
     rows whose doc_id that is.
     """
     d = near_components(docs, **how)
-    least = d.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("__least")).withColumnRenamed("component", "__c")
-    d = d.join(least, F.col("component") == F.col("__c"), "left")
-    d = d.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("__least")))
+    d = d.withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return d.select("doc_id", "text_hash", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
@@ -283,16 +279,16 @@ def deduplicate(df: DataFrame, **how) -> DataFrame:
     of texts under the same id the one with the least hash; of repeated rows with the
     same id and text one stays. Texts without words all stay, as they are near nothing.
     """
-    df = without(df, "__keep_hash", "__keep_id", "__hash", "__repeated")
+    keep_hash, keep_id, own, repeated = fresh(df, "__keep_hash", "__keep_id", "__hash", "__repeated")
     d = near_components(df.select("doc_id", "text"), **how).groupBy("component", "text_hash", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("first")
-    one = d.where("component is not null").groupBy("component").agg(first).select("first.text_hash", "first.doc_id", (F.col("first.n") > 1).alias("__repeated"))
-    kept = one.unionByName(d.where("component is null").select("text_hash", "doc_id", F.lit(False).alias("__repeated")))
-    kept = write_stage(kept.withColumnsRenamed({"text_hash": "__keep_hash", "doc_id": "__keep_id"}), "kept")
-    met = df.withColumn("__hash", F.xxhash64("text")).join(kept, (F.col("__hash") == F.col("__keep_hash")) & F.col("doc_id").eqNullSafe(F.col("__keep_id")))
+    one = d.where("component is not null").groupBy("component").agg(first).select("first.text_hash", "first.doc_id", (F.col("first.n") > 1).alias(repeated))
+    kept = one.unionByName(d.where("component is null").select("text_hash", "doc_id", F.lit(False).alias(repeated)))
+    kept = write_stage(kept.withColumnsRenamed({"text_hash": keep_hash, "doc_id": keep_id}), "kept")
+    met = df.withColumn(own, F.xxhash64("text")).join(kept, (F.col(own) == F.col(keep_hash)) & F.col("doc_id").eqNullSafe(F.col(keep_id)))
     # only what repeats is dealt out once more
-    out = met.where("not __repeated").unionByName(met.where("__repeated").dropDuplicates(["__hash", "doc_id"]))
-    return out.drop("__hash", "__keep_hash", "__keep_id", "__repeated")
+    out = met.where(~F.col(repeated)).unionByName(met.where(F.col(repeated)).dropDuplicates([own, "doc_id"]))
+    return out.drop(own, keep_hash, keep_id, repeated)
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

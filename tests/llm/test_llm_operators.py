@@ -250,8 +250,11 @@ def test_op4(spark, docs, rows, block):
 def test_op4_keeps_one_of_each(spark, docs):
     kept = neardup.deduplicate(docs)
     assert kept.columns == docs.columns
+    # a column named as the operator's own stays
+    clash = docs.withColumnsRenamed({"size": "__hash", "shard": "__repeated"})
+    assert sorted(map(str, neardup.deduplicate(clash).collect())) == sorted(str(r) for r in kept.withColumnsRenamed({"size": "__hash", "shard": "__repeated"}).collect())
     # 7 is in capitals: A to Z are folded, accented letters are not, so it is another text
-    assert sorted(r.doc_id for r in kept.where("doc_id in (5, 6, 7, 8)").distinct().collect()) == [5, 7]
+    assert sorted(r.doc_id for r in kept.where("doc_id in (5, 6, 7, 8)").collect()) == [5, 7]
 
 
 def test_op4_keeps_one_row_of_each(spark, docs, rows):
@@ -281,6 +284,38 @@ def test_sketch_fills_and_estimates():
     assert (neardup.sketch([pair[3]])[0] == s[3]).all()
 
 
+def test_linked_by_brute_force():
+    import numpy as np
+
+    rng = random.Random(12)
+    for _ in range(200):
+        base = [rng.sample(range(400), rng.randint(1, 40)) for _ in range(rng.randint(1, 6))]
+        sets = [np.unique(np.array([x if rng.random() > 0.05 else rng.randrange(400) for x in rng.choice(base)], np.uint64)) for _ in range(rng.randint(1, 40))]
+        n, cut = len(sets), rng.choice([0, rng.randint(0, len(sets))])
+        up = list(range(n))
+        for i in range(n):
+            for j in range(i):
+                c = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * c >= 80 * (len(sets[i]) + len(sets[j]) - c) and (not cut or (i < cut) != (j < cut)):
+                    a, b = up[i], up[j]
+                    up = [min(a, b) if u in (a, b) else u for u in up]
+        assert neardup.linked(sets, cut).tolist() == up
+    # sets that link with nothing cost what they hit, not what there are of them
+    many = [np.array([3 * i, 3 * i + 1], np.uint64) for i in range(60_000)]
+    assert len(np.unique(neardup.linked(many))) == 60_000
+
+
+def test_join_hot(spark):
+    from leafwright.llm.common import join_hot
+
+    rows = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i}", "mine") for i in range(3000)]
+    d = spark.createDataFrame(rows, "id long, k string, __salt string").repartition(5)
+    side = d.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("most")).where("k != 'k8'")
+    got = {r.id: r for r in join_hot(d, side, "k", ["id"], "n", hottest=10).collect()}
+    assert len(got) == 3000 and all(r["__salt"] == "mine" for r in got.values())
+    assert all(got[i].most == (2997 if k == "hot" else None if k in (None, "k8") else i) for i, k, _ in rows)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101 + i) for i in range(30)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

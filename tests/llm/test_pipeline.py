@@ -26,13 +26,6 @@ def test_quality_keeps_what_the_operator_keeps(spark, docs):
     assert sorted(map(str, pipe.quality(spark, docs, "").collect())) == sorted(map(str, want))
 
 
-def test_neardup_keeps_one_of_each_group(spark, docs):
-    rows = [tuple(r) for r in docs.collect() if r.doc_id is not None]
-    want = sorted({k[0] for k in brute_components(rows) if k[3]})
-    got = [r.doc_id for r in pipe.neardup(spark, docs.where("doc_id is not null"), "").collect()]
-    assert sorted(set(got)) == want
-
-
 def test_neardup_keeps_one_row_of_each_group(spark, docs):
     rows = [tuple(r) for r in docs.collect() if r.doc_id is not None]
     worded = lambda t: bool((t or "").split())
