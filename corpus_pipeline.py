@@ -6,8 +6,11 @@ secrets     secrets in the texts are replaced by a mark, and n_chars follows
 mixing      rows are repeated or left out to meet the sources' target weights
 bpe         texts become token ids
 
-All but the last return the columns of documents. A stage copes with an empty table:
-its result is empty too.
+All but the last return the columns of documents; other columns, whatever their names,
+are left out. A stage copes with an empty table: its result is empty too. Null texts
+fail the quality rules, null ids, languages and sources are values like any other.
+Repeated rows fall to near-dedup, which keeps one; the mix may draw it twice. Texts of
+any length are worked on whole.
 """
 
 from __future__ import annotations

@@ -26,9 +26,15 @@ def build_session(app: str = "leafwright", cpus: int | None = None, memory: str
 
 
 def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where it is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a temporary one on this machine, in local mode only: the executors
+    of a cluster would each write to a disk of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = "file://" + tempfile.mkdtemp(prefix="leafwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
