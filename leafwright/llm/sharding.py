@@ -65,7 +65,7 @@ def invert(x: str, n: str, key: int = 0) -> Column:
     return F.expr(permute_sql(x, n, key, True))
 
 
-def number_rows(df: DataFrame, order: list[str], buckets: int = 65_536) -> DataFrame:
+def number_rows(df: DataFrame, order: list[str], buckets: int = 16_384) -> DataFrame:
     """``df`` with ``row_number`` (dense from 0) and ``n_rows``.
 
     The order is (hash bucket of the ``order`` columns, those columns), so it depends
@@ -92,7 +92,7 @@ def number_rows(df: DataFrame, order: list[str], buckets: int = 65_536) -> DataF
     )
 
 
-def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, key: int = 20241, buckets: int = 65_536) -> DataFrame:
+def shard_rows(df: DataFrame, order: list[str], n_shards: int = 8, key: int = 20241, buckets: int = 16_384) -> DataFrame:
     """``df`` with ``row_number``, ``n_rows``, ``shard`` and ``slot``: shuffled, counts at most one apart.
 
     Writing each shard sorted by slot gives the shuffled corpus. An empty table gives
