@@ -1,10 +1,10 @@
 """The pipeline's stages against brute force and on empty and awkward tables."""
 
 import pytest
-from test_llm_operators import SCHEMA, awkward, brute_components
+from test_llm_operators import SCHEMA, awkward, brute_components, brute_quality
 
 import corpus_pipeline as pipe
-from leafwright.llm import bpe, quality, secrets
+from leafwright.llm import bpe, secrets
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +21,8 @@ def test_stages_keep_the_columns(spark, docs):
 
 
 def test_quality_keeps_what_the_operator_keeps(spark, docs):
-    refs = quality.references(docs)
-    want = [r for r in docs.collect() if quality.judge(r.text, r.lang, refs)[-1]]
+    rows = docs.collect()
+    want = [r for r, v in zip(rows, brute_quality([(r.text, r.lang) for r in rows]), strict=True) if v[2]]
     assert sorted(map(str, pipe.quality(spark, docs, "").collect())) == sorted(map(str, want))
 
 
