@@ -1,6 +1,6 @@
 """Importing this module registers every query of the library."""
 
-from ..operators import citations, hierarchy, intervals, mapping, merging, outlines, passages, profile, records, runs, scalars, search, sequences, tables, text
+from ..operators import citations, details, hierarchy, intervals, mapping, merging, outlines, passages, profile, records, runs, scalars, search, sequences, tables, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "citations", "hierarchy", "intervals", "mapping", "merging", "outlines", "passages", "profile", "records", "runs", "scalars", "search", "sequences", "tables", "text"]
+__all__ = ["ORACLES", "QUERIES", "citations", "details", "hierarchy", "intervals", "mapping", "merging", "outlines", "passages", "profile", "records", "runs", "scalars", "search", "sequences", "tables", "text"]
