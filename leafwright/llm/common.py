@@ -31,18 +31,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def join_hot(df: DataFrame, side: DataFrame, key: str, spread: list[str], rows: str, hottest: int = 1000) -> DataFrame:
+def join_hot(df: DataFrame, side: DataFrame, key: str, spread: list[str], rows: str, hottest: int = 1000, total: int | None = None) -> DataFrame:
     """``df`` left joined with ``side`` on ``key``, which is unique in ``side`` and may be hot in ``df``.
 
     ``side`` counts the rows of ``df`` that have its key in column ``rows``, which the result
-    lacks. Keys with a share of more than one in ``hottest`` of all those rows are at most
+    lacks, and ``total`` is their sum where the caller knows it. Keys with a share of more than one in ``hottest`` of all those rows are at most
     ``hottest``: only they are broadcast. All other rows meet by a plain join; hot ones take
     part in it under keys of their own, dealt out by the columns ``spread``, and find nothing.
     """
     carried = [c for c in side.columns if c not in (key, rows)]
     hot_key, plain_key, zero, salt, *names = fresh(df, "__hot_key", "__key", "__zero", "__salt", *(f"__hot_{c}" for c in carried), *(f"__plain_{c}" for c in carried))
     as_hot, as_plain = names[: len(carried)], names[len(carried) :]
-    total = side.agg(F.sum(rows)).first()[0] or 0
+    total = (side.agg(F.sum(rows)).first()[0] or 0) if total is None else total
     hot = side.where(F.col(rows) > total / hottest).select(F.col(key).alias(hot_key), *[F.col(c).alias(n) for c, n in zip(carried, as_hot, strict=True)])
     plain = side.where(F.col(rows) <= total / hottest).select(F.col(key).alias(plain_key), F.lit(0).cast("long").alias(zero), *[F.col(c).alias(n) for c, n in zip(carried, as_plain, strict=True)])
     d = df.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")

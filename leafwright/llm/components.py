@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import write_stage
+from .common import join_hot
 
 
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -21,7 +22,7 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         if not last[0]:
             break
-        e = write_stage(_small_star(_large_star(e)), "edges")
+        e = write_stage(_small_star(_large_star(e, last[0])), "edges")
         now = _state(e)
         if now == last:
             break
@@ -42,11 +43,14 @@ def _state(e: DataFrame) -> tuple:
     return r.n, r.h
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every node links its greater neighbours to the least of its neighbours and itself."""
+def _large_star(e: DataFrame, n: int) -> DataFrame:
+    """Every node links its greater neighbours to the least of its neighbours and itself.
+
+    ``e`` has ``n`` edges. The centre of a large component is a hot key of the join.
+    """
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-    return _clean(e.join(least, F.col("a") == F.col("n")).select(F.col("m").alias("a"), "b"))
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return _clean(join_hot(e, least, "a", ["b"], "n", total=2 * n).select(F.col("m").alias("a"), "b"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
