@@ -44,7 +44,8 @@ def join_hot(df: DataFrame, side: DataFrame, key: str, spread: list[str], rows:
     as_hot, as_plain = names[: len(carried)], names[len(carried) :]
     total = (side.agg(F.sum(rows)).first()[0] or 0) if total is None else total
     hot = side.where(F.col(rows) > total / hottest).select(F.col(key).alias(hot_key), *[F.col(c).alias(n) for c, n in zip(carried, as_hot, strict=True)])
-    plain = side.where(F.col(rows) <= total / hottest).select(F.col(key).alias(plain_key), F.lit(0).cast("long").alias(zero), *[F.col(c).alias(n) for c, n in zip(carried, as_plain, strict=True)])
+    plain = side.where(F.col(rows) <= total / hottest).select(F.col(key).alias(plain_key), F.pmod(F.xxhash64(key), F.lit(1)).alias(zero), *[F.col(c).alias(n) for c, n in zip(carried, as_plain, strict=True)])
+    # zero is no literal, which the optimiser would take out of the join's keys
     d = df.join(F.broadcast(hot), F.col(key) == F.col(hot_key), "left")
     # rows without a key would all go to one task too
     apart = F.col(hot_key).isNotNull() | F.col(key).isNull()
