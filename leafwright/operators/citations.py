@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..session import write_stage
 from ..sources.derived import PAGES, page_text
 from ..sources.tables import load
-from .text import token_overlap, tokens
+from .text import tokens
 
 
 def labels(text: Column) -> Column:
@@ -23,21 +24,36 @@ def keep_first(df: DataFrame, keys: list[Column], order: list[str]) -> DataFrame
 
 
 def bind_sentences(sentences: DataFrame, evidence: DataFrame, per: int = 2, least: float = 0.65) -> DataFrame:
-    """JON19: each sentence's best evidence by token overlap and confidence.
+    """JON19: each sentence's best evidence by token overlap and confidence; evidence that shares no token is never met.
 
-    Pairs arise from shared tokens, so evidence that shares none is never met. Tokens in
-    more than a tenth of the evidence still count in the score but not for meeting.
+    Sentences first meet evidence on the rarer half of their tokens. Evidence not met so has
+    at most the other half, which bounds its score; sentences whose last place stays within
+    that bound then meet evidence on all their tokens. So no evidence is missed, and common
+    tokens bring pairs together for those sentences only.
     """
-    s = sentences.withColumn("st", tokens(F.col("sentence")))
-    e = evidence.withColumn("et", tokens(F.col("quote")))
-    posted = e.select("evidence_id", F.explode("et").alias("tok"))
-    n = e.count()
-    rare = posted.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") <= max(1, n // 10)).select("tok")
-    met = s.select("sentence_id", F.explode("st").alias("tok")).join(posted.join(rare, "tok"), "tok").select("sentence_id", "evidence_id").distinct()
-    j = met.join(s, "sentence_id").join(e, "evidence_id")
-    score = F.round(0.75 * token_overlap(F.col("st"), F.col("et")) + 0.25 * F.col("confidence"), 4)
-    w = W.partitionBy("sentence_id").orderBy(F.desc("score"), "evidence_id")
-    return j.withColumn("score", score).where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per).select("sentence_id", "evidence_id", "score", "rank")
+    e = evidence.where(F.col("confidence") >= least).select("evidence_id", "confidence", F.explode(tokens(F.col("quote"))).alias("tok"))
+    counts = e.groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
+    s = sentences.withColumn("st", tokens(F.col("sentence"))).select("sentence_id", F.size("st").alias("n"), F.explode("st").alias("tok"))
+    order = W.partitionBy("sentence_id").orderBy("c", "tok")
+    s = s.join(counts, "tok").withColumn("i", F.row_number().over(order)).withColumn("met", F.count(F.lit(1)).over(W.partitionBy("sentence_id")))
+    half = F.ceil(F.col("met") / 2)
+
+    def ranked(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        # all tokens count once a pair has met
+        j = asked.join(e, "tok").join(pairs, ["sentence_id", "evidence_id"], "left_semi") if pairs is not None else asked.join(e, "tok")
+        j = j.groupBy("sentence_id", "evidence_id", "confidence", "n", "met").agg(F.count(F.lit(1)).alias("common"))
+        score = F.round(0.75 * F.col("common") / F.greatest(F.lit(1), F.col("n")) + 0.25 * F.col("confidence"), 4)
+        w = W.partitionBy("sentence_id").orderBy(F.desc("score"), "evidence_id")
+        return j.withColumn("score", score).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per)
+
+    rare = s.where(F.col("i") <= half).join(e, "tok").select("sentence_id", "evidence_id").distinct()
+    first = write_stage(ranked(s, rare), "bound")
+    top = evidence.agg(F.max("confidence")).first()[0] or 0.0
+    bound = F.round(0.75 * (F.col("met") - half) / F.greatest(F.lit(1), F.col("n")) + 0.25 * F.lit(float(top)), 4)
+    done = first.where((F.col("rank") == per) & (F.col("score") > bound)).select("sentence_id")
+    rest = ranked(s.join(done, "sentence_id", "left_anti"), None)
+    columns = ["sentence_id", "evidence_id", "score", "rank"]
+    return first.join(done, "sentence_id", "left_semi").select(columns).unionByName(rest.select(columns))
 
 
 def fresh_evidence(evidence: DataFrame, docs: DataFrame) -> DataFrame:
@@ -68,7 +84,10 @@ def _jon02(spark, d):
     return fresh_evidence(e, docs).select("o_orderkey")
 
 
-@query("jon19_bind")
+_TOK = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+|[一-鿿]'))"
+
+
+@query("jon19_bind", f"WITH s AS (SELECT item_id AS sentence_id, {_TOK('text')} AS st FROM benchmark), e AS (SELECT doc_id AS evidence_id, {_TOK('text')} AS et FROM documents), j AS (SELECT sentence_id, evidence_id, round(0.75 * len(list_intersect(st, et)) / greatest(1, len(st)) + 0.25 * 0.9, 4)::DOUBLE AS score FROM s, e WHERE len(list_intersect(st, et)) > 0), r AS (SELECT *, row_number() OVER (PARTITION BY sentence_id ORDER BY score DESC, evidence_id) AS rank FROM j) SELECT * FROM r WHERE rank <= 2")
 def _jon19(spark, d):
     s = load(spark, d, "benchmark").select(F.col("item_id").alias("sentence_id"), F.col("text").alias("sentence"))
     e = load(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("text").alias("quote"), F.lit(0.9).alias("confidence"))

@@ -84,8 +84,11 @@ def best_node(pages: DataFrame, nodes: DataFrame, doc: str = "doc_id") -> DataFr
 
 
 def node_text(pages: DataFrame, nodes: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """JON10: texts of the pages that a node spans, in order, a line each."""
-    j = nodes.join(pages, doc).where("page between start_page and end_page")
+    """JON10: texts of the pages that a node spans, in order, a line each.
+
+    A node's pages are rows, so that pages meet their own nodes by an equal join.
+    """
+    j = nodes.where("start_page <= end_page").withColumn("page", F.explode(F.expr("sequence(start_page, end_page)"))).join(pages, [doc, "page"])
     got = j.groupBy(doc, "ord").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("p"))
     return got.select(doc, "ord", F.array_join(F.transform("p", lambda x: x.text), "\n").alias("node_text"))
 

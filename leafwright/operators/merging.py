@@ -155,14 +155,7 @@ def _set06(spark, d):
     return drop_adjacent(toc_items(spark, d).withColumn("title", F.expr("if(ord % 4 = 1, 'same title', title)")))
 
 
-@query("jon22_assign", f"WITH {TOC}, a AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, ord % 2 ORDER BY ord) AS i FROM ti), s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page % 2 ORDER BY page) AS i FROM pg WHERE page % 5 > 0) SELECT a.doc_id, a.ord, s.page AS slide FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.i = a.i AND s.page % 2 = a.ord % 2")
-def _jon22(spark, d):
-    name = lambda c: F.when(F.col(c) % 2 == 0, "Even ones").otherwise("Odd Ones!")
-    s = page_text(spark, d).where("page % 5 > 0").select("doc_id", F.col("page").alias("slide"), F.when(F.col("page") % 2 == 0, "even-ones").otherwise("odd ones").alias("title"))
-    return assign_in_order(toc_items(spark, d).withColumn("title", name("ord")), s).select("doc_id", "ord", "slide")
-
-
-@query("jon22_all_assign", f"WITH {TOC}, a AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, ord % 2 ORDER BY ord) AS i FROM ti), s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page % 2 ORDER BY page) AS i FROM pg) SELECT a.doc_id, a.ord, s.page AS slide FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.i = a.i AND s.page % 2 = a.ord % 2")
+@query("jon22_assign", f"WITH {TOC}, a AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, ord % 2 ORDER BY ord) AS i FROM ti), s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page % 2 ORDER BY page) AS i FROM pg) SELECT a.doc_id, a.ord, s.page AS slide FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.i = a.i AND s.page % 2 = a.ord % 2")
 def _jon22_all(spark, d):
     name = lambda c: F.when(F.col(c) % 2 == 0, "Even ones").otherwise("Odd Ones!")
     s = page_text(spark, d).select("doc_id", F.col("page").alias("slide"), F.when(F.col("page") % 2 == 0, "even-ones").otherwise("odd ones").alias("title"))

@@ -280,15 +280,8 @@ def _src06(spark, d):
     return row_chunks(load(spark, d, "customer"), "c_mktsegment", ["c_custkey"], 10)
 
 
-@query("toc05_lines", f"WITH {PAGES} SELECT doc_id, page FROM pg WHERE page % 2 = 0 AND doc_id % 2 = 0")
+@query("toc05_lines")
 def _toc05(spark, d):
-    lines = F.concat(F.lit("Contents\n1.2 First part ..... "), F.col("page").cast("string"), F.lit("\nno page here\n"))
-    t = page_text(spark, d).where("page % 2 = 0 and doc_id % 2 = 0").select("doc_id", F.explode(toc_lines(lines)).alias("x"))
-    return t.where("x.number = '1.2' and x.title = 'First part'").select("doc_id", "x.page")
-
-
-@query("toc05_all_lines")
-def _toc05_all(spark, d):
     """Every page's own text, with a contents line added to it."""
     lines = F.concat(F.col("text"), F.lit("\n1.2 First part ..... "), F.col("page").cast("string"))
     return page_text(spark, d).select("doc_id", F.col("page").alias("on_page"), F.explode(toc_lines(lines)).alias("x")).select("doc_id", "on_page", "x.*")

@@ -78,9 +78,10 @@ def outline_quality(items: DataFrame, pages: DataFrame, doc: str = "doc_id") ->
 
 
 def title_on_page(items: DataFrame, pages: DataFrame, band: int = 5, doc: str = "doc_id") -> DataFrame:
-    """JON15: the page within ``band`` of the claimed one that holds the title, the nearest from below up."""
+    """JON15: the first page within ``band`` of the claimed one that holds the title; the band's pages meet by an equal join."""
     p = pages.select(doc, F.col("page").alias("at"), "text")
-    j = items.join(p, doc).where((F.abs(F.col("at") - F.col("claimed")) <= band) & F.col("text").contains(F.col("title")) & (F.col("title") != ""))
+    near = items.where("title != ''").withColumn("at", F.explode(F.sequence(F.col("claimed") - band, F.col("claimed") + band)))
+    j = near.join(p, [doc, "at"]).where(F.col("text").contains(F.col("title")))
     return j.groupBy(doc, "ord").agg(F.min("at").alias("found"))
 
 

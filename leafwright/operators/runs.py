@@ -261,15 +261,7 @@ def _jon16(spark, d):
     return resolve_names(asked, docs)
 
 
-@query("jon17_mentions", "SELECT item_id, n_name FROM (SELECT item_id, 'Compare ' || text[1:60] || ' with ' || n_name || '.pdf' AS q FROM benchmark JOIN nation ON n_nationkey = item_id % 25) x, nation n WHERE contains(lower(q), lower(n.n_name))")
-def _jon17(spark, d):
-    n = load(spark, d, "nation")
-    q = load(spark, d, "benchmark").join(n.select((F.col("n_nationkey")).alias("k"), F.col("n_name").alias("m")), F.col("item_id") % 25 == F.col("k"))
-    q = q.select("item_id", F.concat(F.lit("Compare "), F.substring("text", 1, 60), F.lit(" with "), F.col("m"), F.lit(".pdf")).alias("q"))
-    return mentions(q, n.select("n_name"), "q", "n_name").select("item_id", "n_name")
-
-
-@query("jon17_all_mentions", "SELECT item_id, n_name FROM (SELECT item_id, 'Compare ' || text || ' with ' || n_name || '.pdf' AS q FROM benchmark JOIN nation ON n_nationkey = item_id % 25) x, nation n WHERE contains(lower(q), lower(n.n_name))")
+@query("jon17_mentions", "SELECT item_id, n_name FROM (SELECT item_id, 'Compare ' || text || ' with ' || n_name || '.pdf' AS q FROM benchmark JOIN nation ON n_nationkey = item_id % 25) x, nation n WHERE contains(lower(q), lower(n.n_name))")
 def _jon17_all(spark, d):
     n = load(spark, d, "nation")
     q = load(spark, d, "benchmark").join(n.select((F.col("n_nationkey")).alias("k"), F.col("n_name").alias("m")), F.col("item_id") % 25 == F.col("k"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..session import write_stage
 from ..sources.tables import load
 
 K1, B = 1.5, 0.75
@@ -22,13 +23,14 @@ def bm25(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "te
     """(key, score) of every row under the query ``terms``; rows without any score 0.
 
     Statistics are of all rows: filter the result, not the input, to scope a search.
-    Terms are picked within each row, so postings are never exploded: one pass makes
-    term counts and lengths, one aggregate the corpus statistics.
+    Terms are picked within each row, so postings are never exploded: one pass over the
+    texts writes term counts and lengths, from which statistics and scores follow.
     """
     terms = list(dict.fromkeys(t.lower() for t in terms))
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
     d = docs.select(key, words.alias("w"))
     d = d.select(key, F.size("w").alias("dl"), *[F.size(F.filter("w", _is(t))).alias(f"tf{i}") for i, t in enumerate(terms)])
+    d = write_stage(d, "terms")
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     d = d.crossJoin(F.broadcast(stats))  # one row
     part = lambda i: F.log1p((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -99,7 +99,10 @@ def _jon21(spark, d):
     return zip_in_order(toc_items(spark, d).select("doc_id", "ord"), page_text(spark, d).where("page % 2 = 0").select("doc_id", "page"), "doc_id", "ord", "page")
 
 
-@query("set14_jaccard")
+_TK = lambda x: f"list_distinct(regexp_extract_all(lower({x}), '[a-z0-9]+|[一-鿿]'))"
+
+
+@query("set14_jaccard", f"WITH {TOC}, n AS (SELECT doc_id, ord, {_TK('title')} AS a, {_TK('lead(title) OVER (PARTITION BY doc_id ORDER BY ord)')} AS b FROM ti) SELECT doc_id, ord, round(coalesce(len(list_intersect(a, b)) / nullif(len(list_distinct(a || b)), 0), 0), 4)::DOUBLE AS similarity FROM n WHERE b IS NOT NULL")
 def _set14(spark, d):
     t = toc_items(spark, d).withColumn("next", F.lead("title").over(W.partitionBy("doc_id").orderBy("ord"))).where("next is not null")
     return t.select("doc_id", "ord", F.round(jaccard(tokens(F.col("title")), tokens(F.col("next"))), 4).alias("similarity"))

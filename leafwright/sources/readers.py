@@ -81,6 +81,7 @@ def _chunks(sheet: str, rows: list[tuple[int, list[str]]]) -> Iterator[tuple]:
 
 
 def csv_blocks(data: bytes, delimiter: str = ",") -> Iterator[tuple]:
+    csv.field_size_limit(1 << 31)  # a field may be as long as a file
     yield from _chunks("", list(enumerate(csv.reader(io.StringIO(decode(data)), delimiter=delimiter), 1)))
 
 

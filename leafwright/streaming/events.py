@@ -21,11 +21,11 @@ def valid(events: DataFrame) -> DataFrame:
     return events.where(F.col("kind").isin(*KINDS) & F.col("run_id").isNotNull() & F.col("event_id").isNotNull() & F.col("ts").isNotNull())
 
 
-def numbered(events: DataFrame) -> DataFrame:
+def numbered(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """Each run's events numbered from 1 in order of arrival, without gaps.
 
     The count is keyed state, so each run has one writer. A batch's events of a run go by
-    time and id.
+    time and id. An event that comes again within ``late`` is passed over, so it keeps its number.
     """
     import pandas as pd
 
@@ -35,7 +35,8 @@ def numbered(events: DataFrame) -> DataFrame:
         state.update((n + len(d),))
         yield pd.DataFrame({"run_id": key[0], "event_id": d["event_id"], "seq": range(n + 1, n + 1 + len(d))})
 
-    return events.groupBy("run_id").applyInPandasWithState(run, "run_id string, event_id long, seq long", "n long", "append", "NoTimeout")
+    once = events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["run_id", "event_id"])
+    return once.groupBy("run_id").applyInPandasWithState(run, "run_id string, event_id long, seq long", "n long", "append", "NoTimeout")
 
 
 def windowed_latency(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:

@@ -34,5 +34,5 @@ def test_contents_lines_of_all_pages(spark):
             for n, t, p in hit.findall(f"{line}\n1.2 First part ..... {page}"):
                 if int(p) > 0 and t.strip(" "):
                     want.append((r.doc_id, page, n.strip(" "), t.strip(" "), int(p)))
-    got = [tuple(r) for r in QUERIES["toc05_all_lines"](spark, FOLDER).collect()]
+    got = [tuple(r) for r in QUERIES["toc05_lines"](spark, FOLDER).collect()]
     assert sorted(got) == sorted(want) and {p % 2 for _, p, *_ in got} == {0, 1}

@@ -21,14 +21,16 @@ def test_markdown_ignores_fences_and_reads_both_heading_forms():
 
 
 def test_csv_keeps_physical_rows():
-    got = list(csv_blocks(b"city,amount\n\nbeijing,10\nshanghai\n"))
-    assert [(g[1], g[2], g[3], g[6]) for g in got] == [("header", 1, 1, "city\tamount"), ("rows", 3, 4, "beijing\t10\nshanghai\t")]
+    got = list(csv_blocks(b"boat;crew;port\n;;\nGull; 4 ;Brest\n\nTern;2\n", ";"))
+    assert [(g[1], g[2], g[3], g[6]) for g in got] == [("header", 1, 1, "boat\tcrew\tport"), ("rows", 3, 5, "Gull\t4\tBrest\nTern\t2\t")]
+    long = "x" * 200_000
+    assert long in list(csv_blocks(f"a,b\n1,{long}\n".encode()))[1][6]
 
 
 @pytest.fixture()
 def folder(tmp_path):
     (tmp_path / "a.txt").write_text("one\n\ntwo")
-    (tmp_path / "b.csv").write_text("k,v\n1,2\n")
+    (tmp_path / "b.csv").write_text("mast,sail\nmain,9\n")
     (tmp_path / "broken.xlsx").write_bytes(b"no archive")
     with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
         z.writestr("xl/workbook.xml", '<workbook><sheets><sheet name="S"/></sheets></workbook>')
@@ -45,7 +47,7 @@ def folder(tmp_path):
 def test_all_formats(spark, folder):
     got = {(r.path.rpartition("/")[2], r.kind, r.start, r.level): r.text for r in read_blocks(spark, str(folder)).collect()}
     assert got[("a.txt", "paragraph", 3, 0)] == "two"
-    assert got[("b.csv", "rows", 2, 0)] == "1\t2"
+    assert got[("b.csv", "rows", 2, 0)] == "main\t9"
     assert got[("c.xlsx", "rows", 3, 0)] == "7"
     assert got[("d.docx", "heading", 1, 2)] == "Title"
     assert got[("e.pptx", "slide", 1, 1)] == "First\nnote"

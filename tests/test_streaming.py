@@ -19,7 +19,7 @@ def run(spark, df, name, mode="append"):
 
 def test_numbers_go_on_over_batches(spark, tmp_path):
     write(tmp_path, "1.json", [event("a", 1, 0), event("b", 2, 0), event("a", 3, 1)])
-    write(tmp_path, "2.json", [event("a", 4, 2), event("b", 5, 2), event("b", 6, 3, kind="nonsense")])
+    write(tmp_path, "2.json", [event("a", 4, 2), event("b", 5, 2), event("b", 6, 3, kind="nonsense"), event("a", 3, 1), event("b", 2, 0)])
     rows = run(spark, numbered(valid(read_events(spark, str(tmp_path)))), "seqs")
     by = {}
     for r in rows:
