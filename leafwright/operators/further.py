@@ -88,10 +88,10 @@ def with_model(df: DataFrame, call: Callable[[Iterator[pd.DataFrame]], Iterator[
     return df.mapInPandas(call, schema) if call else df.withColumns(default)
 
 
-def provider(protocol: Column, capabilities: Column, needed: list[str]) -> Column:
+def provider(protocol: Column, capabilities: Column, needed: list[str], known: tuple = ("openai", "ollama")) -> Column:
     """HOOK6: how a model is called: by its protocol if known, else the common one; null if it lacks what is needed."""
     able = F.forall(F.array(*map(F.lit, needed)), lambda c: F.array_contains(capabilities, c))
-    return F.when(able, F.when(F.lower(protocol).isin("openai", "anthropic", "ollama"), F.lower(protocol)).otherwise("openai"))
+    return F.when(able, F.when(F.lower(protocol).isin(*known), F.lower(protocol)).otherwise("openai"))
 
 
 def boundary(tool: Column, enabled: list[str], web: Column, in_scope: Column) -> Column:
