@@ -11,8 +11,10 @@ candidates: two nodes that share any band are in one cluster.
 Verification is exact and leaves out no pair of a cluster. A cluster's sets come to
 one task, which counts intersections over an index of shingles. Pivots are compared
 with all others at once, and a pair is skipped only if both are linked already, so no
-list of pairs arises. Clusters above a bound are cut into blocks and each pair of
-blocks gets a task, whose links (a forest, not pairs) are joined by components again.
+list of pairs arises. Clusters above a bound are cut by levels of set size, each a
+quarter up from the last, and levels above the bound into blocks. Sets two levels apart
+cannot be near, so only blocks of one level or of neighbouring ones meet, each pair in a
+task of its own, whose links (a forest, not pairs) are joined by components again.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import write_stage
@@ -36,6 +39,8 @@ COORDINATES, ROWS = 128, 4
 PERCENT = 80
 #: Shingles, with repeats among sets, that one verification task holds of one block.
 BLOCK_SHINGLES = 1_500_000
+#: The ratio of set sizes from one level to the next: a little over 100 / PERCENT, so that rounding parts no near pair.
+LEVEL = 1.000001 * 100 / PERCENT
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _U = np.uint64
@@ -189,6 +194,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[tuple[bytes, bytes]]:
         both = key is not None and key[1] != key[2]
+        if both and not (sides[0] and sides[1]):
+            return
         names = [*sides[0], *sides[1]] if both else [*sides[0]]
         sets = [*sides[0].values(), *sides[1].values()] if both else [*sides[0].values()]
         if len(names) > 1:
@@ -217,6 +224,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(out)
 
 
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """(cluster, level, first, blocks, low, high) for each level of a cluster's ``members``.
+
+    Its ``blocks`` are numbered from ``first``, and their sets can be near those of blocks
+    ``low`` to ``high``. A cluster that fits into one block is one. A cluster has as many
+    rows here as there are levels, some hundred at most.
+    """
+    sizes = members.groupBy("cluster", "level").agg(F.sum("n_shingles").alias("s"))
+    sizes = sizes.withColumn("whole", F.sum("s").over(W.partitionBy("cluster")) <= block).withColumn("blocks", F.ceil(F.col("s") / block).cast("int"))
+    up = W.partitionBy("cluster").orderBy("level")
+    near = up.rangeBetween(-1, 1)
+    sizes = sizes.withColumn("end", F.sum("blocks").over(up.rowsBetween(W.unboundedPreceding, 0)).cast("int")).withColumn("first", F.col("end") - F.col("blocks"))
+    sizes = sizes.withColumn("low", F.min("first").over(near)).withColumn("high", F.max("end").over(near) - 1)
+    one = lambda c, v: F.when(F.col("whole"), v).otherwise(F.col(c)).alias(c)
+    return sizes.select("cluster", "level", one("first", 0), one("blocks", 1), one("low", 0), one("high", 0))
+
+
 def near_components(docs: DataFrame, coordinates: int = COORDINATES, rows: int = ROWS, block: int = BLOCK_SHINGLES) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -238,17 +262,18 @@ def near_components(docs: DataFrame, coordinates: int = COORDINATES, rows: int =
     star = placed.join(least, "key").where("node != least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     clusters = connected_components(star).withColumnRenamed("component", "cluster")
     members = clusters.join(nodes.select("node", "rep", "n_shingles"), "node")
-    sizes = members.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") / F.lit(block)).cast("int").alias("blocks"))
-    members = write_stage(members.join(sizes, "cluster").select("cluster", "node", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("d"), "blocks"), "members")
+    members = members.withColumn("level", F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(LEVEL))).cast("int"))
+    members = members.join(_blocks(members, block), ["cluster", "level"])
+    members = write_stage(members.select("cluster", "node", F.col("rep.text_hash").alias("h"), F.col("rep.doc_id").alias("d"), "first", "blocks", "low", "high"), "members")
     found = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = found.join(members.hint("shuffle_hash"), (F.col("text_hash") == F.col("h")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    # a task for each pair of a cluster's blocks
-    found = found.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    found = found.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    # a task for each pair of blocks that can hold a near pair
+    found = found.withColumn("own", (F.col("first") + F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("int"))
+    found = found.withColumn("other", F.explode(F.sequence("low", "high")))
     tasks = found.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "text")
     tasks = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = write_stage(tasks.mapInArrow(_verify, "a binary, b binary"), "links")
-    if members.where("blocks > 1").limit(1).count():
+    if members.where("low < high").limit(1).count():
         joined = connected_components(links)
     else:  # forests of whole clusters are stars already
         joined = links.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -306,6 +306,13 @@ def test_op4(spark, docs, rows, block):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=key) == sorted(brute_components(rows), key=key)
 
 
+def test_op4_levels_part_no_near_pair(spark, tmp_path):
+    """Sets whose sizes are just 80 % of each other's, in chains over many levels, in blocks of one set."""
+    made = [(i, " ".join(f"w{k}" for k in range(n + 3))) for i, n in enumerate([5, 4, 8, 10, 12, 15, 16, 20, 40, 50, 62, 63, 100, 125, 156, 157, 1000, 1250, 1249, 1251])]
+    got = neardup.near_duplicates(spark.createDataFrame(made, "doc_id long, text string"), block=1).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == sorted(brute_components(made))
+
+
 def test_op4_keeps_one_of_each(spark, docs):
     kept = neardup.deduplicate(docs)
     assert kept.columns == docs.columns
