@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,18 +19,21 @@ from .text import match_form
 def drop_adjacent(items: DataFrame, doc: str = "doc_id", order: str = "ord") -> DataFrame:
     """SET06: without items like the last one kept: titles alike in 20 characters, pages at most one apart.
 
-    What was kept last depends on what was dropped, so a document's items are folded.
+    What was kept last depends on what was dropped, so a document's items are gone through
+    in order, in one group of Arrow rows. A null title or page is like nothing.
     """
-    row = F.struct(F.col(order).cast("int").alias("o"), F.substring("title", 1, 20).alias("t"), F.col("page").cast("int").alias("p"))
-    d = items.groupBy(doc).agg(F.array_sort(F.collect_list(row)).alias("x"))
+    d = items.select(doc, F.col(order).cast("int").alias(order), F.substring("title", 1, 20).alias("__t"), F.col("page").cast("int").alias("__p"))
 
-    def step(kept, x):
-        last = F.try_element_at(kept, F.lit(-1))
-        same = F.coalesce((last.t == x.t) & (F.abs(last.p - x.p) <= 1), F.lit(False))
-        return F.when(same, kept).otherwise(F.concat(kept, F.array(x)))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(order, "ascending"), ("__t", "ascending"), ("__p", "ascending")])
+        kept, last = [], (None, None)
+        for i, now in enumerate(zip(rows["__t"].to_pylist(), rows["__p"].to_pylist(), strict=True)):
+            if None in now or now[0] != last[0] or last[1] is None or abs(now[1] - last[1]) > 1:
+                kept.append(i)
+                last = now
+        return rows.take(pa.array(kept, pa.int64())).select([doc, order])
 
-    kept = F.aggregate("x", F.array().cast("array<struct<o:int,t:string,p:int>>"), step)
-    return d.select(doc, F.explode(kept).alias("k")).select(doc, F.col("k.o").alias(order))
+    return d.groupBy(doc).applyInArrow(run, d.select(doc, order).schema)
 
 
 def assign_in_order(agenda: DataFrame, slides: DataFrame, doc: str = "doc_id") -> DataFrame:
@@ -150,9 +154,17 @@ def canonical_node(nodes: DataFrame, last_page: str, doc: str = "doc_id") -> Dat
     return nodes.select(doc, "ord", a.alias("first"), b.alias("last"), F.substring(F.sha1(key), 1, 16).alias("node_id"))
 
 
-@query("set06_adjacent")
+@query(
+    "set06_adjacent",
+    f"""WITH RECURSIVE {TOC}, x AS (SELECT doc_id, ord, CASE WHEN ord % 4 < 3 THEN 'same title' ELSE left(title, 20) END AS t, ord AS p, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM ti),
+f AS (SELECT doc_id, i, ord, t, p, true AS kept FROM x WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, x.ord, CASE WHEN x.t = f.t AND abs(x.p - f.p) <= 1 THEN f.t ELSE x.t END, CASE WHEN x.t = f.t AND abs(x.p - f.p) <= 1 THEN f.p ELSE x.p END, NOT (x.t = f.t AND abs(x.p - f.p) <= 1)
+  FROM f JOIN x ON x.doc_id = f.doc_id AND x.i = f.i + 1)
+SELECT doc_id, ord FROM f WHERE kept""",
+)
 def _set06(spark, d):
-    return drop_adjacent(toc_items(spark, d).withColumn("title", F.expr("if(ord % 4 = 1, 'same title', title)")))
+    """Three titles of four alike, on pages one apart: the third is two apart from the one kept."""
+    return drop_adjacent(toc_items(spark, d).withColumns({"title": F.expr("if(ord % 4 < 3, 'same title', title)"), "page": F.col("ord")}))
 
 
 @query("jon22_assign", f"WITH {TOC}, a AS (SELECT doc_id, ord, row_number() OVER (PARTITION BY doc_id, ord % 2 ORDER BY ord) AS i FROM ti), s AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page % 2 ORDER BY page) AS i FROM pg) SELECT a.doc_id, a.ord, s.page AS slide FROM a LEFT JOIN s ON s.doc_id = a.doc_id AND s.i = a.i AND s.page % 2 = a.ord % 2")

@@ -6,6 +6,7 @@ items are one sort group and no two documents are ever compared.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,18 +131,22 @@ def matching_prefix(pages: DataFrame, matches: Column, doc: str = "doc_id", page
 def pack(items: DataFrame, size: str, limit: int, doc: str = "doc_id", order: str = "ord") -> DataFrame:
     """WIN20: items in order into groups of at most ``limit``; what alone is larger has its own.
 
-    A fold over one document's sizes, as each group's start depends on the one before.
+    Each group's start depends on the one before, so a document's sizes are gone through in
+    order, in one group of Arrow rows. A null size counts nothing.
     """
-    d = items.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("x"))
-    zero = F.struct(F.lit(-1).alias("g"), F.lit(limit + 1).cast("long").alias("used"), F.array().cast("array<struct<o:int,g:int>>").alias("out"))
+    d = items.select(doc, F.col(order).cast("int").alias(order), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__s"))
 
-    def step(a, x):
-        new = (a.used + x.s > limit) | (a.g < 0)
-        g = F.when(new, a.g + 1).otherwise(a.g)
-        return F.struct(g.alias("g"), F.when(new, x.s).otherwise(a.used + x.s).alias("used"), F.concat(a.out, F.array(F.struct(x.o.cast("int").alias("o"), g.alias("g")))).alias("out"))
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(order, "ascending"), ("__s", "ascending")])
+        group, used, groups = 0, 0, []
+        for i, s in enumerate(rows["__s"].to_pylist()):
+            if i and used + s > limit:
+                group, used = group + 1, 0
+            used += s
+            groups.append(group)
+        return rows.select([doc, order]).append_column("group", pa.array(groups, pa.int32()))
 
-    d = d.select(doc, F.explode(F.aggregate("x", zero, step, lambda a: a.out)).alias("y"))
-    return d.select(doc, F.col("y.o").alias(order), F.col("y.g").alias("group"))
+    return d.groupBy(doc).applyInArrow(run, d.select(doc, order, F.lit(0).alias("group")).schema)
 
 
 def printed_to_physical(items: DataFrame, printed: str, anchored: str, doc: str = "doc_id") -> DataFrame:
@@ -317,7 +322,14 @@ def _win11(spark, d):
     return matching_prefix(page_text(spark, d), F.contains(F.col("text"), F.lit("e")) & (F.char_length("text") % 3 > 0)).select("doc_id", "page")
 
 
-@query("win20_pack")
+@query(
+    "win20_pack",
+    f"""WITH RECURSIVE {PAGES}, x AS (SELECT doc_id, page, length(text) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY page) AS i FROM pg),
+f AS (SELECT doc_id, i, page, s AS used, 0 AS g FROM x WHERE i = 1
+  UNION ALL SELECT x.doc_id, x.i, x.page, CASE WHEN f.used + x.s > 1500 THEN x.s ELSE f.used + x.s END, CASE WHEN f.used + x.s > 1500 THEN f.g + 1 ELSE f.g END
+  FROM f JOIN x ON x.doc_id = f.doc_id AND x.i = f.i + 1)
+SELECT doc_id, page, g AS "group" FROM f""",
+)
 def _win20(spark, d):
     return pack(page_text(spark, d).withColumn("tokens", F.char_length("text")), "tokens", 1500, order="page")
 

@@ -125,9 +125,16 @@ def _cls06(spark, d):
     return chapter_dividers(page_text(spark, d))
 
 
-@query("cls07_outline_features")
+@query(
+    "cls07_outline_features",
+    rf"""WITH {PAGES}, l AS (SELECT doc_id, page, list_filter(string_split(regexp_replace(text || CASE WHEN page % 4 = 0 THEN chr(10) || 'Contents' || chr(10) || '1. First part ..... 3' ELSE '' END, '([.])\s+', '\1' || chr(10), 'g'), chr(10)), lambda x: trim(x) != '') AS l FROM pg),
+c AS (SELECT doc_id, page, greatest(len(l), 1) AS n, len(list_filter(l, lambda x: regexp_matches(x, '{TOC_LINE}'))) AS leaders, len(list_filter(l, lambda x: regexp_matches(x, '{HEADING}'))) AS numbered, len(list_filter(l, lambda x: regexp_matches(x, '{CONTENTS}'))) > 0 AS has_title FROM l)
+SELECT doc_id, page, has_title, leaders, numbered, round(least(1.0, has_title::INT * 0.5::DOUBLE + 0.4::DOUBLE * leaders / n + 0.2::DOUBLE * numbered / n), 4) AS score FROM c""",
+)
 def _cls07(spark, d):
-    return outline_features(page_text(spark, d))
+    """The pages, each fourth with a short table of contents below."""
+    toc = F.when(F.col("page") % 4 == 0, "\nContents\n1. First part ..... 3").otherwise("")
+    return outline_features(page_text(spark, d).withColumn("text", F.concat("text", toc)))
 
 
 @query("toc01_lines", rf"WITH {PAGES}, l AS (SELECT doc_id, page, text || ' .... ' || page AS text FROM pg), x AS (SELECT doc_id, page, trim(regexp_extract(text, '^\s*(.+?)[\s.·…]{{2,}}(\d{{1,4}})\s*$', 1)) AS title, TRY_CAST(regexp_extract(text, '^\s*(.+?)[\s.·…]{{2,}}(\d{{1,4}})\s*$', 2) AS INT) AS target FROM l) SELECT * FROM x WHERE title <> '' AND target IS NOT NULL")
@@ -146,6 +153,14 @@ def _jon15(spark, d):
     return title_on_page(toc_items(spark, d).withColumn("claimed", F.col("page") + 1).drop("page"), page_text(spark, d))
 
 
-@query("jon11_title_cursor")
+@query(
+    "jon11_title_cursor",
+    f"""WITH RECURSIVE {TOC}, p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), x AS (SELECT doc_id, ord, title, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS i FROM ti),
+f AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS INT) AS ord, CAST(1 AS BIGINT) AS cursor, CAST(NULL AS BIGINT) AS found FROM p
+  UNION ALL SELECT doc_id, i, ord, coalesce(hit, cursor), hit FROM (
+    SELECT x.doc_id, x.i, x.ord, f.cursor, list_filter(range(f.cursor, len(p.p) + 1), lambda k: x.title != '' AND contains(p.p[k], x.title))[1] AS hit
+    FROM f JOIN x ON x.doc_id = f.doc_id AND x.i = f.i + 1 JOIN p ON p.doc_id = x.doc_id))
+SELECT doc_id, ord, found FROM f WHERE i > 0""",
+)
 def _jon11(spark, d):
     return map_titles_in_order(toc_items(spark, d), page_text(spark, d))
