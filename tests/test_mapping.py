@@ -70,3 +70,36 @@ def test_printed_pages_and_skeletons():
     assert m.map_skeleton([("Alpha section", 2), ("Beta section", 3)], texts) == ("existing", 1.0, [2, 3])
     assert m.map_skeleton([("Alpha section", None), ("Gamma section", 9)], texts) == ("title_search", 1.0, [2, 4])
     assert m.map_skeleton([("Unseen", None), ("Not here", None), ("Nor here", None)], texts, 2) == ("uniform_after_toc", 0.35, [2, 3, 4])
+
+
+def test_position_by_line_then_by_offset():
+    """MAP06: the first line that shows the title; blank lines count in the offset, not before the top."""
+    assert m.position("The harbour lights were lit at dusk", PAGE) == (1, 17, True)
+    assert m.position("The harbour lights were lit at dusk", "one\ntwo\n\n" + PAGE) == (4, 26, False)
+    line, at, top = m.position("lit at dusk and the boats came home one", PAGE)
+    assert line is None and at > 0 and m.normal(PAGE)[at:].startswith("litatdusk") and top == (at <= 80)
+    assert m.position("Annual report of the museum", PAGE) is None
+    assert m.position("", PAGE) is None
+
+
+def test_sections_are_mapped_apart(spark):
+    """MAP11: a table's title before the main one's page is found, as each kind has its own cursor."""
+    pages = [(1, 1, "Table of tides and harbours"), (1, 2, "nothing here"), (1, 3, "The lighthouse keepers of the north")]
+    items = [(1, 0, "The lighthouse keepers of the north", "main_toc"), (1, 1, "Table of tides and harbours", "table_catalog"), (1, 2, "Index of sunken merchant ships", "table_catalog")]
+    got = m.map_sections(spark.createDataFrame(items, "doc_id long, ord int, title string, kind string"), spark.createDataFrame(pages, "doc_id long, page int, text string"))
+    assert sorted((r.kind, r.ord, r.page, r.source, r.match_rate) for r in got.collect()) == [
+        ("main_toc", 0, 3, "title_search", 1.0),
+        ("table_catalog", 1, 1, "title_search", 0.5),
+        ("table_catalog", 2, None, "unmapped", 0.5),
+    ]
+
+
+def test_children_stay_inside_their_parents(spark):
+    """ADD04: a child is looked for on its parent's pages only, and left out if it is on none of them."""
+    from leafwright.operators.further import attach_children
+
+    pages = spark.createDataFrame([(1, p, t) for p, t in enumerate(["Ropes and knots of the sailors", "Sails and masts of the schooners", "Ropes and knots of the sailors"], 1)], "doc_id long, page int, text string")
+    parents = spark.createDataFrame([(1, 0, 1, 2), (1, 3, 2, 3), (1, 6, 2, 2)], "doc_id long, ord int, start_page int, end_page int")
+    kids = [(1, p, p + 1, "Ropes and knots of the sailors") for p in (0, 3, 6)] + [(1, 6, 8, "Sails and masts of the schooners")]
+    got = attach_children(parents, spark.createDataFrame(kids, "doc_id long, parent int, ord int, title string"), pages)
+    assert sorted((r.parent, r.ord, r.page) for r in got.collect()) == [(0, 1, 1), (3, 4, 3), (6, 8, 2)]
