@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..sources.tables import load
 
+#: What is trimmed off cells; a pattern would be matched at every place of each.
+_SPACE = " \t\n\x0b\f\r"
 _NUMERIC = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+)?$"
 
 
 def to_number(cell: Column) -> Column:
     """A cell as a double: commas go, underscores between digits too; null where it is no number."""
-    plain = F.regexp_replace(F.regexp_replace(cell.cast("string"), r"^\s+|\s+$", ""), ",", "")
+    plain = F.regexp_replace(F.trim(cell.cast("string"), F.lit(_SPACE)), ",", "")
     word = F.lower(plain)
     special = F.when(word.rlike(r"^[+-]?nan$"), F.lit(float("nan"))).when(word.rlike(r"^\+?inf(inity)?$"), F.lit(float("inf"))).when(word.rlike(r"^-inf(inity)?$"), F.lit(float("-inf")))
     return F.when(plain.rlike(_NUMERIC), F.regexp_replace(plain, "_", "").cast("double")).otherwise(special)
@@ -46,7 +48,7 @@ def aggregate(table: DataFrame, spec: dict) -> DataFrame:
         return table.select(target).limit(limit)
     if op == "groupby":
         key, metric = spec["group_by"], spec.get("metric", "count")
-        text = F.regexp_replace(F.coalesce(F.col(key).cast("string"), F.lit("")), r"^\s+|\s+$", "")
+        text = F.trim(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(_SPACE))
         d = table.withColumn("__k", F.when(text == "", "(empty)").otherwise(text))
         if metric == "count":
             out = d.groupBy(F.col("__k").alias(key)).agg(F.count(F.lit(1)).alias("count"))
