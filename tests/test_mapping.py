@@ -158,3 +158,11 @@ def test_search_is_the_best_of_all_pages(compared):
     few = len(compared)
     assert got == [_plain(t, texts, 1 + i % 5 * 8) for i, t in enumerate(titles)]
     assert any(got) and few * 20 < len(compared)
+
+
+def test_unseen_titles_are_compared_with_few_windows(compared):
+    """MAP07: titles that are nowhere are not held against every window of every page."""
+    texts, titles = _document(60)
+    titles = [t[::-1] for t in titles]
+    got = m.map_items([(t, "main") for t in titles], texts)
+    assert len(compared) < 5 * len(titles) and len(got) == len(titles)
