@@ -166,3 +166,13 @@ def test_unseen_titles_are_compared_with_few_windows(compared):
     titles = [t[::-1] for t in titles]
     got = m.map_items([(t, "main") for t in titles], texts)
     assert len(compared) < 5 * len(titles) and len(got) == len(titles)
+
+
+def test_printed_pages_are_compared_with_few_windows(compared):
+    """MAP13: the same of titles with a printed page."""
+    texts, titles = _document(60)
+    got = m.override_printed([(t[::-1], "main", 1 + i % 60) for i, t in enumerate(titles)], texts)
+    assert len(got) == len(titles) and len(compared) < 60 * len(titles)
+    compared.clear()
+    texts, titles = {1: _document(1)[0][1] + " of harbour lights", 2: "Sailors tell of fog and of lights at sea and of boats " * 4}, ["of harbour lights and foghorns at the quay of the old town"]
+    assert m.override_printed([(t, "main", 2) for t in titles], texts)[0][0] in (1, 2) and len(compared) < 24
