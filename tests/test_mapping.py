@@ -176,3 +176,17 @@ def test_printed_pages_are_compared_with_few_windows(compared):
     compared.clear()
     texts, titles = {1: _document(1)[0][1] + " of harbour lights", 2: "Sailors tell of fog and of lights at sea and of boats " * 4}, ["of harbour lights and foghorns at the quay of the old town"]
     assert m.override_printed([(t, "main", 2) for t in titles], texts)[0][0] in (1, 2) and len(compared) < 24
+
+
+def test_documents_are_not_dealt_to_pandas_groups(spark):
+    """MAP11, ADD04: one row a document in Arrow batches; equal orders, missing pages and documents without pages stay."""
+    from leafwright.operators.further import attach_children
+
+    pages = spark.createDataFrame([(1, 1, "Ropes and knots of the sailors"), (1, 2, None), (2, 1, "no items here")], "doc_id long, page int, text string")
+    items = spark.createDataFrame([(1, 0, "Ropes and knots of the sailors", "main_toc"), (1, 0, None, "main_toc"), (3, 0, "Sails and masts", "main_toc"), (None, 0, "Sails", "main_toc")], "doc_id long, ord int, title string, kind string")
+    got = m.map_sections(items, pages)
+    assert sorted((r.doc_id or 0, r.ord, r.page, r.source) for r in got.collect()) == [(0, 0, None, "unmapped"), (1, 0, 1, "neighbor_inference"), (1, 0, 1, "title_search"), (3, 0, None, "unmapped")]
+    parents = spark.createDataFrame([(1, 0, 1, 2)], "doc_id long, ord int, start_page int, end_page int")
+    kids = attach_children(parents, items.selectExpr("doc_id", "0 as parent", "ord", "title"), pages)
+    assert [(r.parent, r.ord, r.page) for r in kids.collect()] == [(0, 0, 1)]
+    assert not any("InPandas" in d._jdf.queryExecution().toString() for d in (got, kids))
