@@ -18,6 +18,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -161,15 +162,20 @@ def references(profiled: DataFrame, lang: str, failed: str, bins: dict[str, int]
     """A row for each language: for each of the histograms ``bins`` the shares of its sum over the rows that have not ``failed``.
 
     The languages are those of ``COMMON`` and one for all others: a handful of rows of fixed length.
+    Bins are summed as rows, so that the plan does not grow with their number.
     """
-    passed = profiled.where(~F.col(failed)).groupBy(F.col(lang).alias("language"))
-    sums = passed.agg(*[F.sum(F.col(h)[i]).alias(f"{h}{i}") for h, n in bins.items() for i in range(n)])
-    shares = []
-    for h, n in bins.items():
-        counts = [F.col(f"{h}{i}") for i in range(n)]
-        whole = F.greatest(sum(counts[1:], counts[0]), F.lit(1)).cast("double")
-        shares.append(F.array(*[c / whole for c in counts]).alias(f"{h}_shares"))
-    return sums.select("language", *shares)
+    passed = profiled.where(~F.col(failed)).select(F.col(lang).alias("language"), F.posexplode(F.concat(*bins)).alias("bin", "count"))
+    sums = passed.where("count > 0").groupBy("language", "bin").agg(F.sum("count").alias("count"))
+    refs = sums.groupBy("language").agg(F.map_from_entries(F.collect_list(F.struct("bin", "count"))).alias("sums"))
+
+    def share(first: int, n: int) -> Column:
+        counts = F.transform(F.sequence(F.lit(first), F.lit(first + n - 1)), lambda i: F.coalesce(F.col("sums")[i], F.lit(0)))
+        whole = F.greatest(F.aggregate(counts, F.lit(0).cast("long"), lambda s, c: s + c), F.lit(1)).cast("double")
+        return F.transform(counts, lambda c: c / whole)
+
+    firsts = accumulate(bins.values(), initial=0)
+    shares = [share(first, n).alias(f"{h}_shares") for first, (h, n) in zip(firsts, bins.items(), strict=False)]
+    return refs.select("language", *shares)
 
 
 def score_quality(df: DataFrame, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:

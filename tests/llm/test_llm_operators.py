@@ -455,6 +455,11 @@ def test_op5_distances_by_brute_force(spark, docs, rows):
     assert {r.kept for r in got.values()} == {True, False}
 
 
+def test_op5_plan_does_not_grow_with_its_bins(spark, docs):
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toJSON())
+    assert size(quality.score_quality(docs)) < 300_000
+
+
 def test_op5_verdicts_on_labels(spark):
     got = quality.op5_quality(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("not base_failed")
     n = {(r.quality, r.kept): r.n for r in got.groupBy("quality", "kept").agg(F.count(F.lit(1)).alias("n")).collect()}
