@@ -168,6 +168,16 @@ def test_unseen_titles_are_compared_with_few_windows(compared):
     assert len(compared) < 5 * len(titles) and len(got) == len(titles)
 
 
+def test_numbered_titles_are_compared_with_lines_that_carry_a_number_only(compared):
+    """MAP07: lines without the number do not count, and a line that holds the title is not compared as well."""
+    texts = {p: f"Sailors tell of fog at sea and of {'abcdefgh'[p % 8] * 3} boats {p}" for p in range(1, 60)}
+    items = [(f"Chapter {p}: {' '.join(texts[p].split()[:9])}", "main") for p in texts]
+    assert [r[0] for r in m.map_items(items, texts)] == [p for p in texts] and len(compared) == 0
+    assert m.title_page("Chapter 3: Sailors tell of fog at sea", {1: "Sailors tell of fog at seas", 2: "Chapter 3  Sailors tel of fog at sea"}, 1) == _plain("Chapter 3: Sailors tell of fog at sea", {1: "Sailors tell of fog at seas", 2: "Chapter 3  Sailors tel of fog at sea"}, 1)
+    for x in ("Ünïted ßtates, 12_3", "ﬁne ２nd – “x”", "İSTANBUL µ", "中文 Part-2\n", "a\x85b\xa0ª²"):
+        assert m.normal(x) == "".join(c for c in __import__("unicodedata").normalize("NFKC", x).lower() if c.isalnum())
+
+
 def test_printed_pages_are_compared_with_few_windows(compared):
     """MAP13: the same of titles with a printed page."""
     texts, titles = _document(60)
