@@ -200,3 +200,20 @@ def test_documents_are_not_dealt_to_pandas_groups(spark):
     kids = attach_children(parents, items.selectExpr("doc_id", "0 as parent", "ord", "title"), pages)
     assert [(r.parent, r.ord, r.page) for r in kids.collect()] == [(0, 0, 1)]
     assert not any("InPandas" in d._jdf.queryExecution().toString() for d in (got, kids))
+
+
+def test_texts_of_pages_move_once(spark, tmp_path):
+    """MAP07, MAP11, ADD04: items and pages meet in one grouping; titles of repeated ids come as the join gave them."""
+    import re
+
+    from leafwright.plans.catalogue import QUERIES
+    from leafwright.sources.derived import page_text, toc_items
+
+    rows = [(1, "Ropes and knots of the sailors\nb\nc\nFog and boats"), (1, "Sails and masts\nb"), (None, "no id at all"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    old = toc_items(spark, str(tmp_path)).drop("title").join(page_text(spark, str(tmp_path)), ["doc_id", "page"])
+    got = m.long_titles(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.page, r.ord, r.text) for r in got.collect()) == sorted((r.doc_id, r.page, r.ord, r.text) for r in old.collect())
+    for name, most in (("map07_mapper", 2), ("map11_sections", 1), ("add04_children", 3)):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning", plan)) <= most, name
